@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import collapse
+from lectern.llm import collapse, neardup
 from lectern.sources.tables import table
 
 
@@ -18,5 +19,21 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse.copy_counts(table(spark, sf_dir, "corpus_raw", "row_id", "text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies}
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    # Runs of three words; true cases lie above 0.65 and others at 0.5 or below, so the threshold is between.
+    return neardup.near_duplicates(table(spark, sf_dir, "corpus_raw", "row_id", "text"), k=3, threshold=0.6, least_words=20)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows that are versions of one text."""
+    return neardup.expanded(*_versions(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each row that has versions, the group's size and models, and the row's links."""
+    models = table(spark, sf_dir, "corpus_raw").select(F.col("row_id").alias("id"), F.nullif(F.lower(F.trim("model")), F.lit("")).alias("model"))
+    return neardup.groups(*_versions(spark, sf_dir), models)
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
 SQL: dict[str, str] = {}
