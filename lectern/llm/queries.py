@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import collapse, neardup
+from lectern.llm import collapse, leak, lookalike, neardup
 from lectern.sources.tables import table
 
 
@@ -35,5 +35,31 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(*_versions(spark, sf_dir), models)
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose text looks like a corpus text and differs from it in characters."""
+    return lookalike.alike(table(spark, sf_dir, "corpus_raw", "row_id", "text"), table(spark, sf_dir, "detect_request", "request_id", "text"), "row_id", "request_id")
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical form of every corpus text and request, by its hash, and whether it differs from the text."""
+    tabs = {"corpus_raw": "row_id", "detect_request": "request_id"}
+    rows = None
+    for tab, key in tabs.items():
+        one = table(spark, sf_dir, tab).select(F.struct(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), F.sha2("text", 256).alias("was")).alias("rec"), "text")
+        rows = one if rows is None else rows.unionAll(one)
+    form = lookalike.one_form(rows, "rec", "text").select("id.*", F.sha2("form", 256).alias("form"))
+    return form.select("tab", "rec_id", "form", (F.col("form") != F.col("was")).alias("changed"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item, whole or in part."""
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the longest leaked stretch in words."""
+    return leak.leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "passage"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
 SQL: dict[str, str] = {}
