@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import collapse, leak, lookalike, neardup
+from lectern.llm import collapse, cutoff, leak, lookalike, neardup
 from lectern.sources.tables import table
 
 
@@ -61,5 +61,27 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "passage"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
+P1_TABS = ("corpus_raw", "error_examples")
+
+
+def _p1_tabs(spark: SparkSession, sf_dir: str) -> list:
+    keys = {"corpus_raw": "row_id", "error_examples": "example_id"}
+    return [(i, table(spark, sf_dir, t, keys[t], "source", "text"), keys[t]) for i, t in enumerate(P1_TABS)]
+
+
+def _tab_name():
+    return F.element_at(F.array(*map(F.lit, P1_TABS)), F.col("tab") + 1).alias("tab")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose text was cut by a limit of length or a broken transfer."""
+    return cutoff.cut_records(_p1_tabs(spark, sf_dir)).select(_tab_name(), F.col("id").alias("rec_id"))
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source of each table cuts."""
+    return cutoff.cut_rates(_p1_tabs(spark, sf_dir)).withColumn("tab", _tab_name())
+
+
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
 SQL: dict[str, str] = {}
