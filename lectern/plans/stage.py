@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,3 +39,12 @@ def written(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The shuffle width the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a few fixed-width columns that a task may hold as a broadcast relation: some 50 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (narrow, and written, so that counting is cheap) marked for broadcast if it has at most ``rows`` rows; else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
