@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import collapse, cutoff, leak, lookalike, neardup
+from lectern.llm import collapse, cube, cutoff, leak, lookalike, mixing, neardup
 from lectern.sources.tables import table
 
 
@@ -83,5 +83,50 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.cut_rates(_p1_tabs(spark, sf_dir)).withColumn("tab", _tab_name())
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
-SQL: dict[str, str] = {}
+def _sample(spark: SparkSession, sf_dir: str) -> cube.CubeSample:
+    return cube.CubeSample(table(spark, sf_dir, "corpus_raw", "row_id", "text", "register", "label", "model"), table(spark, sf_dir, "sample_targets"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with fewer rows than their target."""
+    return _sample(spark, sf_dir).report().filter("short").select("cell_id")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target, available and sampled rows of each cell, with the residual imbalance."""
+    return _sample(spark, sf_dir).report()
+
+
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample's rows with their cells."""
+    return _sample(spark, sf_dir).rows.select(F.col("id").alias("row_id"), "cell_id")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    return mixing.Mix(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "register"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed sources that fall short of their share."""
+    return _mix(spark, sf_dir).report().filter("short").select("source")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual tokens and shares of each listed source."""
+    return _mix(spark, sf_dir).report()
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mix(spark, sf_dir).docs
+
+
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
+SQL: dict[str, str] = {
+    "p5_found": """
+        WITH rows AS (SELECT lower(trim(register)) AS register, label, lower(trim(model)) AS model FROM corpus_raw WHERE text IS NOT NULL),
+        size AS (SELECT count(*) // 5 AS n FROM rows),
+        have AS (SELECT t.cell_id, count(r.register) AS available FROM sample_targets t LEFT JOIN rows r ON r.register = lower(trim(t.register)) AND r.label = t.label AND r.model = lower(trim(t.model)) GROUP BY 1)
+        SELECT cell_id FROM sample_targets JOIN have USING (cell_id), size WHERE available < greatest(min_rows, floor(target_share * n))
+    """,
+}
