@@ -5,7 +5,8 @@ hash functions; two texts agree in a component with the probability of their sim
 is cut into ``SIZE / WIDTH`` blocks. By the pigeonhole principle two fingerprints that differ in fewer
 components than there are blocks share a block; a pair just at the threshold misses all of them with a
 probability of (1 - s^WIDTH)^(SIZE / WIDTH). Pairs that share a block are kept if their Hamming distance is
-within what the threshold allows, and then checked exactly on their sets of runs.
+within what the threshold allows, and then checked exactly on the sets of runs of their texts, which are
+made only for texts of such pairs.
 
 Texts with the same set of runs are one class: only the class's smallest id takes part in the join, and
 members are added afterwards. A block or key of any size is handled by the sort-merge join, whose skewed
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import codepoints as cp
-from lectern.plans.stage import written
+from lectern.plans.stage import broadcast_if_small, written
 
-SIZE, WIDTH = 32, 2
+SIZE, WIDTH = 60, 3
 _SEEDS = cp.mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64))
 _MULTIPLY, _ADD = _SEEDS[:SIZE] | np.uint64(1), _SEEDS[SIZE:]
 
@@ -47,8 +48,7 @@ def _sketch(k: int, least_words: int):
                 owner = np.repeat(np.arange(len(bound) - 1, dtype=np.uint64), np.diff(bound))
                 distinct = np.unique((owner << np.uint64(32)) | (hashed >> np.uint64(32)))
                 bound = np.searchsorted(distinct >> np.uint64(32), np.arange(len(bound), dtype=np.uint64))
-                value = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                mixed = cp.mix(value.astype(np.uint64))
+                mixed = cp.mix(distinct & np.uint64(0xFFFFFFFF))
                 # Texts that are left out have no runs or too few words; those without runs would break reduceat.
                 full = np.flatnonzero(np.diff(bound) > 0)
                 at = bound[full]
@@ -60,42 +60,60 @@ def _sketch(k: int, least_words: int):
                 block = np.arange(SIZE // WIDTH, dtype=np.uint64)[None, :] + np.uint64(1)
                 for w in range(WIDTH):
                     block = cp.mix(block * np.uint64(0xD6E8FEB86659FD93) + pairs[:, :, w])
-                n = np.diff(bound)[rows]
-                picked = np.arange(n.sum()) + np.repeat(bound[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(value[picked].view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("id").slice(p.i, p.j - p.i).take(pa.array(rows)),
                         pa.array(sums[:, 0].view(np.int64)),
                         pa.array(sums[:, 1].view(np.int64)),
-                        pa.FixedSizeListArray.from_arrays(pa.array(block.reshape(-1).view(np.int64)), SIZE // WIDTH).cast(pa.list_(pa.int64())),
+                        pa.FixedSizeListArray.from_arrays(pa.array((block >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(-1)), SIZE // WIDTH).cast(pa.list_(pa.int32())),
                         pa.array([x.tobytes() for x in prints.astype(np.uint8)], pa.binary()),
-                        runs,
                     ],
-                    names=["id", "s1", "s2", "blocks", "print", "runs"],
+                    names=["id", "s1", "s2", "blocks", "print"],
                 )
 
     return run
 
 
-def _verify(threshold: float, most_apart: int):
-    """Rows of pairs with both prints and run sets: keeps those within the Hamming distance and, exactly, the threshold."""
+def _runs(k: int):
+    """The distinct runs of each text, as 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in cp.passes(b.column("text")):
+                start, end, first = cp.words(p)
+                hashed, bound = cp.runs(cp.word_hashes(p, start, end), first, k)
+                owner = np.repeat(np.arange(len(bound) - 1, dtype=np.uint64), np.diff(bound))
+                distinct = np.unique((owner << np.uint64(32)) | (hashed >> np.uint64(32)))
+                bound = np.searchsorted(distinct >> np.uint64(32), np.arange(len(bound), dtype=np.uint64)).astype(np.int32)
+                value = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(p.i, p.j - p.i), pa.ListArray.from_arrays(pa.array(bound), pa.array(value))], names=["id", "runs"])
+
+    return run
+
+
+def _near(most_apart: int):
+    """Pairs whose prints differ in no more components than allowed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
             prints = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, SIZE) for c in ("print_a", "print_b")]
-            near = np.flatnonzero((prints[0] != prints[1]).sum(axis=1) <= most_apart)
-            if not len(near):
-                continue
-            b = b.take(pa.array(near))
+            rows = pa.array(np.flatnonzero((prints[0] != prints[1]).sum(axis=1) <= most_apart))
+            yield pa.RecordBatch.from_arrays([b.column("a").take(rows), b.column("b").take(rows)], names=["a", "b"])
+
+    return run
+
+
+def _alike(threshold: float):
+    """Pairs whose sets of runs have the threshold's similarity, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             n = [pc.list_value_length(b.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("runs_a", "runs_b")]
             row = np.arange(b.num_rows, dtype=np.uint64) << np.uint64(32)
             both = np.concatenate([np.repeat(row, m) | b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint32) for c, m in zip(("runs_a", "runs_b"), n)])
             both.sort()
             shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=b.num_rows)
-            similarity = shared / (n[0] + n[1] - shared)
+            similarity = shared / np.maximum(n[0] + n[1] - shared, 1)
             rows = pa.array(np.flatnonzero(similarity >= threshold))
             yield pa.RecordBatch.from_arrays([b.column("a").take(rows), b.column("b").take(rows), pa.array(similarity).take(rows)], names=["a", "b", "similarity"])
 
@@ -104,7 +122,7 @@ def _verify(threshold: float, most_apart: int):
 
 def sketches(df: DataFrame, id_col: str, text_col: str, k: int, least_words: int) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    return rows.mapInArrow(_sketch(k, least_words), "id long, s1 long, s2 long, blocks array<long>, print binary, runs array<int>")
+    return rows.mapInArrow(_sketch(k, least_words), "id long, s1 long, s2 long, blocks array<int>, print binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, least_words: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -117,13 +135,19 @@ def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     members = sketched.groupBy("s1", "s2").agg(F.min("id").alias("class_id"))
     members = written(sketched.select("id", "s1", "s2").join(members, ["s1", "s2"]).select("id", "class_id").distinct())
     classes = sketched.join(members.filter("id = class_id").select("id"), "id", "left_semi")
-    blocks = classes.select(F.explode("blocks").alias("block"), "id")
+    blocks = classes.select(F.posexplode("blocks").alias("place", "part"), "id")
+    blocks = blocks.select((F.shiftleft(F.col("place").cast("long"), 32) + F.col("part")).alias("block"), "id")
     pairs = blocks.select("block", F.col("id").alias("a")).hint("merge").join(blocks.select("block", F.col("id").alias("b")).hint("merge"), "block").filter("a < b").select("a", "b").distinct()
     # The largest distance that a pair at the threshold exceeds once in some ten thousand times.
     spread = (threshold * (1 - threshold) / SIZE) ** 0.5
     most_apart = int(np.ceil(SIZE * min(1.0, 1 - threshold + 3.7 * spread)))
-    side = lambda x: sketched.select(F.col("id").alias(x), F.col("print").alias(f"print_{x}"), F.col("runs").alias(f"runs_{x}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(threshold, most_apart), "a long, b long, similarity double")
+    printed = lambda x: sketched.select(F.col("id").alias(x), F.col("print").alias(f"print_{x}"))
+    near = written(pairs.join(printed("a"), "a").join(printed("b"), "b").mapInArrow(_near(most_apart), "a long, b long"))
+    ids = broadcast_if_small(written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id")
+    runs = written(texts.mapInArrow(_runs(k), "id long, runs array<int>").dropDuplicates(["id"]))
+    side = lambda x: runs.select(F.col("id").alias(x), F.col("runs").alias(f"runs_{x}"))
+    links = near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike(threshold), "a long, b long, similarity double")
     return members, links
 
 
@@ -134,7 +158,7 @@ def expanded(members: DataFrame, links: DataFrame) -> DataFrame:
     inside = m("a").join(several, "class_a").join(m("b"), F.col("class_a") == F.col("class_b")).filter("id_a < id_b").select("id_a", "id_b")
     across = links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")).join(m("a"), "class_a").join(m("b"), "class_b").select("id_a", "id_b")
     pairs = inside.unionAll(across)
-    return pairs.select(F.least("id_a", "id_b").alias("row_id_a"), F.greatest("id_a", "id_b").alias("row_id_b"))
+    return pairs.select(F.least("id_a", "id_b").alias("row_id_a"), F.greatest("id_a", "id_b").alias("row_id_b")).distinct()
 
 
 def groups(members: DataFrame, links: DataFrame, models: DataFrame) -> DataFrame:
