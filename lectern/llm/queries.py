@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import collapse, cube, cutoff, leak, lookalike, mixing, neardup
+from lectern.llm import collapse, cube, cutoff, leak, level, lookalike, mixing, neardup
 from lectern.sources.tables import table
 
 
@@ -121,7 +121,27 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).docs
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
+def _levels(spark: SparkSession, sf_dir: str, least_words: int) -> DataFrame:
+    return level.graded(table(spark, sf_dir, "corpus_raw", "row_id", "text", "register", "source"), least_words=least_words)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of at least 20 words that are easy or hard to read."""
+    return _levels(spark, sf_dir, 20).filter("band <> 'middle'").select(F.col("id").alias("row_id"), "band").distinct()
+
+
+def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading levels by register."""
+    return level.profile(_levels(spark, sf_dir, 1))
+
+
+def p2_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated errors of the calibrated grades, whole sources held out."""
+    model = level.fitted(table(spark, sf_dir, "corpus_raw", "row_id", "text", "source"), "row_id", "text", "source")
+    return spark.createDataFrame(model.cv, "source string, n long, mae double, bias double, band_agreement double")
+
+
+QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p2_cv": p2_cv, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
 SQL: dict[str, str] = {
     "p5_found": """
         WITH rows AS (SELECT lower(trim(register)) AS register, label, lower(trim(model)) AS model FROM corpus_raw WHERE text IS NOT NULL),
