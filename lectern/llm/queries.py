@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import collapse, cube, cutoff, leak, level, lookalike, mixing, neardup
+from lectern.llm import abuse, collapse, cube, cutoff, leak, level, lookalike, mixing, neardup
 from lectern.sources.tables import table
 
 
@@ -141,7 +141,22 @@ def p2_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(model.cv, "source string, n long, mae double, bias double, band_agreement double")
 
 
-QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p2_cv": p2_cv, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document."""
+    return abuse.scored(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "toxicity_labels", "doc_id", "toxic"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit passages."""
+    return p9_scores(spark, sf_dir).filter("score >= 0.5").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of such documents by source."""
+    return abuse.rates(p9_scores(spark, sf_dir))
+
+
+QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p2_found": p2_found, "p2_profile": p2_profile, "p2_cv": p2_cv, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
 SQL: dict[str, str] = {
     "p5_found": """
         WITH rows AS (SELECT lower(trim(register)) AS register, label, lower(trim(model)) AS model FROM corpus_raw WHERE text IS NOT NULL),
