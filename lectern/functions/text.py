@@ -1,23 +1,151 @@
-"""Native column builders for text: sentence and word tokenisers, counts, truncation, chunking, language detection."""
+"""Native column builders for text: tokenisers, counts, truncation, chunks, language, normalisers.
+
+All are built-in expressions. Null texts give null. Regular expressions name Unicode classes where the
+definition is Unicode-aware, because Java's ``\\s``, ``\\w`` and ``\\b`` are not.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions import wordlists as L
+
 #: White space as Unicode has it; Java's \s alone is ASCII.
-SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
+SPACE = r"[\s\x0b\p{Z}\x{85}\x{1c}-\x{1f}]"
+WORD = r"[\p{L}\p{N}_]+"
+CJK = r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]"
 
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(text: Column | str) -> Column:
+    return F.regexp_replace(_c(text), f"^{SPACE}+|{SPACE}+$", "")
+
+
+def _filled(parts: Column) -> Column:
+    return F.filter(F.transform(parts, strip), lambda s: s != "")
+
+
+def sentences(text: Column | str) -> Column:
+    """Split after . ! ? before a capital letter, quote or bracket; the whole text if nothing is left."""
+    found = _filled(F.split(strip(text), rf"(?<=[.!?]){SPACE}+(?=[A-Z\"'(])"))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(_c(text)))
+
+
+def sentence_offsets(text: Column | str) -> Column:
+    """Sentences with start and end in characters: runs up to and with their stops, closing quotes and space; those without a word are dropped after positions are counted."""
+    parts = F.regexp_extract_all(_c(text), F.lit(r"[^.!?]*[.!?]+[\"'\s]*|[^.!?]+$"), F.lit(0))
+    step = lambda acc, s: F.struct(
+        (acc["at"] + F.length(s)).alias("at"),
+        F.concat(acc["out"], F.array(F.struct(strip(s).alias("text"), acc["at"].alias("start"), (acc["at"] + F.length(s)).alias("end"), s.rlike(r"[\p{L}\p{N}_]").alias("worded")))).alias("out"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int,worded:boolean>>").alias("out"))
+    all_parts = F.aggregate(parts, start, step)["out"]
+    return F.transform(F.filter(all_parts, lambda s: s["worded"]), lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def paragraph_sentences(text: Column | str) -> Column:
+    """Sentences within paragraphs: blank lines part paragraphs, single breaks are spaces."""
+    marked = F.regexp_replace(F.regexp_replace(_c(text), r"\n{2,}", " <PARA> "), r"\n", " ")
+    pieces = F.flatten(F.transform(F.split(marked, r"(?<=[.!?])\s+(?=[A-Z])"), lambda p: F.split(p, "<PARA>")))
+    return _filled(pieces)
+
+
+def loose_sentences(text: Column | str) -> Column:
+    """Split at stops before space or the end, and at line breaks; stops are dropped."""
+    return _filled(F.split(_c(text), r"[.!?]+(?:\s|$)|\n+"))
+
+
+def stop_sentences(text: Column | str) -> Column:
+    """Split at the space after . ! ?"""
+    return F.split(_c(text), r"(?<=[.!?])\s+")
+
+
+def stop_count(text: Column | str) -> Column:
+    """Number of . ! ?, at least 1."""
+    t = _c(text)
+    return F.greatest(F.lit(1), F.length(t) - F.length(F.translate(t, ".?!", "")))
+
+
+def words(text: Column | str) -> Column:
+    """Lower-case words that hold a letter; single characters where more than a tenth of the text is CJK or kana."""
+    low = F.lower(_c(text))
+    plain = F.filter(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), lambda w: w.rlike(r"\p{L}"))
+    single = F.filter(F.split(low, ""), lambda c: c.rlike(r"[\p{L}\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]"))
+    return F.when(F.regexp_count(_c(text), F.lit(CJK)) > F.length(_c(text)) * 0.1, single).otherwise(plain)
+
+
+def ascii_words(text: Column | str) -> Column:
+    """Lower-case runs of a-z that no other word character touches."""
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z]+(?![\p{L}\p{N}_])"), F.lit(0))
+
+
+def apostrophe_words(text: Column | str) -> Column:
+    """Runs of ASCII letters with an optional ending after an apostrophe, lower-cased afterwards."""
+    return F.transform(F.regexp_extract_all(_c(text), F.lit(r"[a-zA-Z]+(?:'[a-z]+)?"), F.lit(0)), F.lower)
+
+
+def tokens(text: Column | str) -> Column:
+    """Lower-case words, numbers kept."""
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD), F.lit(0))
+
+
 def space_words(text: Column | str) -> Column:
-    """Words parted by white space; null for null."""
+    """Words parted by white space."""
     return F.filter(F.split(_c(text), SPACE + "+"), lambda w: w != "")
 
 
-def at_least_words(text: Column | str, n: int) -> Column:
-    """Whether a text has at least ``n`` words parted by white space: one anchored match that stops at the n-th word."""
-    return _c(text).rlike(rf"^{SPACE}*+(?:[^\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]++(?:{SPACE}++|$)){{{n}}}")
+def first_words(text: Column | str, n: int) -> Column:
+    return F.array_join(F.slice(space_words(text), 1, n), " ")
+
+
+def first_chars(text: Column | str, n: int) -> Column:
+    return F.substring(_c(text), 1, n)
+
+
+def chunks(text: Column | str, size: int = 500, stride: int = 400) -> Column:
+    """Overlapping chunks of words; texts of no more than ``stride`` words give none."""
+    w = space_words(text)
+    starts = F.when(F.size(w) > stride, F.sequence(F.lit(0), F.size(w) - stride - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_join(F.slice(w, s + 1, size), " ").alias("chunk")))
+
+
+def syllables(word: Column) -> Column:
+    """Vowel groups after a silent ending is taken off; 1 for words of up to three letters."""
+    w = F.lower(word)
+    bare = F.regexp_replace(F.regexp_replace(w, r"(?:[^aeiouy]es|ed|[^aeiouy]e)$", ""), "^y", "")
+    return F.when(F.length(w) <= 3, F.lit(1)).otherwise(F.greatest(F.lit(1), F.regexp_count(bare, F.lit("[aeiouy]+"))))
+
+
+def language(text: Column | str, sample: int = 500) -> Column:
+    """Language by script and function words of the first ``sample`` characters, as the definition has it; ties go to en, es, fr, de in turn; unknown if none occurs."""
+    head = F.substring(_c(text), 1, sample)
+    low = F.lower(head)
+    count = lambda m: F.size(F.split(low, m)) - 1
+    scores = {lang: sum((count(m) for m in marks), F.lit(0)) for lang, marks in L.LANGUAGE_MARKERS.items()}
+    top = F.greatest(*scores.values())
+    pick = F.when(top == 0, "unknown")
+    for lang, score in scores.items():
+        pick = pick.when(score == top, lang)
+    return F.when(F.regexp_count(head, F.lit(r"[\x{4e00}-\x{9fff}]")) > F.length(head) * 0.1, "zh").otherwise(pick)
+
+
+def defensive(text: Column | str, composed: Column | None = None) -> Column:
+    """Hidden characters out, look-alikes to Latin, repeated punctuation to one, white space to single blanks; "" for null. ``composed``: the text after NFC, where available."""
+    t = F.regexp_replace(composed if composed is not None else _c(text), L.HIDDEN_CHARACTERS, "")
+    t = F.translate(t, L.HOMOGLYPHS_FROM, L.HOMOGLYPHS_TO)
+    t = F.regexp_replace(t, r"[ \t\r\n]{2,}", " ")
+    t = F.regexp_replace(t, r"([^\p{L}\p{N}_\s\x0b\p{Z}\x{85}\x{1c}-\x{1f}])\1{2,}", "$1")
+    return F.coalesce(strip(F.regexp_replace(t, SPACE + "+", " ")), F.lit(""))
+
+
+def rebuilt(index: Column | str) -> Column:
+    """A text from its inverted index, a JSON object of word to positions; gaps stay empty words, the later word wins a position."""
+    entries = F.map_entries(F.from_json(_c(index), "map<string,array<int>>"))
+    pairs = F.flatten(F.transform(entries, lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
+    by_place = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["at"])), lambda at: F.struct(at, F.element_at(F.filter(pairs, lambda p: p["at"] == at), -1)["word"])))
+    last = F.array_max(F.transform(pairs, lambda p: p["at"]))
+    return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(by_place, i), F.lit(""))), " ")
