@@ -14,6 +14,8 @@ from lectern.functions import wordlists as L
 #: White space as Unicode has it; Java's \s alone is ASCII.
 SPACE = r"[\s\x0b\p{Z}\x{85}\x{1c}-\x{1f}]"
 WORD = r"[\p{L}\p{N}_]+"
+#: A word that holds a letter.
+LETTERED = r"[\p{N}_]*\p{L}[\p{L}\p{N}_]*"
 CJK = r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]"
 
 
@@ -73,11 +75,16 @@ def stop_count(text: Column | str) -> Column:
 def words(text: Column | str) -> Column:
     """Lower-case words that hold a letter; single characters where more than a tenth of the text is CJK or kana."""
     low = F.lower(_c(text))
-    plain = F.filter(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), lambda w: w.rlike(r"\p{L}"))
+    plain = F.regexp_extract_all(low, F.lit(LETTERED), F.lit(0))
     single = F.filter(F.split(low, ""), lambda c: c.rlike(r"[\p{L}\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]"))
     return F.when(F.regexp_count(_c(text), F.lit(CJK)) > F.length(_c(text)) * 0.1, single).otherwise(plain)
 
 
+def word_count(text: Column) -> Column:
+    """The number of ``words``, without making them."""
+    return F.when(text.rlike(CJK), F.size(words(text))).otherwise(F.regexp_count(text, F.lit(LETTERED)))
+
+
 def ascii_words(text: Column | str) -> Column:
     """Lower-case runs of a-z that no other word character touches."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z]+(?![\p{L}\p{N}_])"), F.lit(0))
@@ -98,6 +105,14 @@ def space_words(text: Column | str) -> Column:
     return F.filter(F.split(_c(text), SPACE + "+"), lambda w: w != "")
 
 
+def syllable_counts(spaced: Column) -> tuple[Column, Column]:
+    """Of words parted and framed by single blanks: all syllables, and the words of three or more; the same counts as ``syllables`` word by word, in passes over the whole string."""
+    short = F.regexp_replace(spaced, r"(?<= )[^ ]{1,3}(?= )", "a")
+    bare = F.regexp_replace(F.regexp_replace(short, r"(?:[^aeiouy ]es|ed|[^aeiouy ]e)(?= )", ""), r"(?<= )y(?=[^ ])|(?<= )y(?= )", "")
+    silent = F.regexp_count(bare, F.lit(r"(?<= )[^aeiouy ]*(?= )"))
+    return F.regexp_count(bare, F.lit("[aeiouy]+")) + silent, F.regexp_count(bare, F.lit(r"(?<= )[^aeiouy ]*(?:[aeiouy]+[^aeiouy ]+){2}[aeiouy][^ ]*"))
+
+
 def first_words(text: Column | str, n: int) -> Column:
     return F.array_join(F.slice(space_words(text), 1, n), " ")
 
