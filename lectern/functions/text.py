@@ -6,7 +6,7 @@ definition is Unicode-aware, because Java's ``\\s``, ``\\w`` and ``\\b`` are not
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import wordlists as L
@@ -157,10 +157,11 @@ def defensive(text: Column | str, composed: Column | None = None) -> Column:
     return F.coalesce(strip(F.regexp_replace(t, SPACE + "+", " ")), F.lit(""))
 
 
-def rebuilt(index: Column | str) -> Column:
-    """A text from its inverted index, a JSON object of word to positions; gaps stay empty words, the later word wins a position."""
-    entries = F.map_entries(F.from_json(_c(index), "map<string,array<int>>"))
-    pairs = F.flatten(F.transform(entries, lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
-    by_place = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["at"])), lambda at: F.struct(at, F.element_at(F.filter(pairs, lambda p: p["at"] == at), -1)["word"])))
-    last = F.array_max(F.transform(pairs, lambda p: p["at"]))
-    return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(by_place, i), F.lit(""))), " ")
+def rebuilt(df: DataFrame, id_col: str, index: str) -> DataFrame:
+    """(id, rebuilt): texts from their inverted indexes, JSON objects of word to positions. Gaps stay as empty words, so their blanks add up; of several words at a place the last in the index wins."""
+    entries = df.select(id_col, F.posexplode(F.map_entries(F.from_json(index, "map<string,array<int>>"))).alias("_order", "_e"))
+    places = entries.select(id_col, "_order", F.col("_e.key").alias("_word"), F.explode("_e.value").alias("_at"))
+    words = places.groupBy(id_col, "_at").agg(F.max_by("_word", "_order").alias("_word"))
+    ordered = words.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", "_word"))).alias("_all"))
+    spaced = F.transform("_all", lambda x, i: F.concat(F.repeat(F.lit(" "), x["_at"] - F.coalesce(F.get("_all", i - 1)["_at"], F.lit(0))), x["_word"]))
+    return ordered.select(id_col, F.array_join(spaced, "").alias("rebuilt"))

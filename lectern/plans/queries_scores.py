@@ -82,7 +82,7 @@ def a18_a19_losses(spark, d):
 
 @query(
     f"""WITH {SCORES}, e AS (SELECT register, abs(label - stylometric_score) AS e FROM s WHERE stylometric_score IS NOT NULL), o AS (SELECT register, list_sort(list(e)) AS v, count(*) AS n FROM e GROUP BY 1),
-    a AS (SELECT *, (n - 1) * least(1.0, 0.9::DOUBLE * (1 + 1 / n)) AS at FROM o), q AS (SELECT register, n, v, v[floor(at)::BIGINT + 1] + (v[ceil(at)::BIGINT + 1] - v[floor(at)::BIGINT + 1]) * (at - floor(at)) AS quantile FROM a)
+    a AS (SELECT *, (n - 1) * least(1.0, 0.9::DOUBLE * (1 + 1 / n)) AS pos FROM o), q AS (SELECT register, n, v, list_extract(v, CAST(floor(pos) AS BIGINT) + 1) + (list_extract(v, CAST(ceil(pos) AS BIGINT) + 1) - list_extract(v, CAST(floor(pos) AS BIGINT) + 1)) * (pos - floor(pos)) AS quantile FROM a)
     SELECT register, n::BIGINT AS n, round(quantile, 6)::DOUBLE AS quantile, round(len(list_filter(v, lambda x: x <= quantile)) / n, 6)::DOUBLE AS coverage FROM q"""
 )
 def a31_conformal(spark, d):

@@ -12,8 +12,8 @@ from lectern.streaming import stateful
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
-    f AS (SELECT key, event_id, at, k, 60.0::DOUBLE AS tokens, true AS allowed FROM e WHERE k = 1 UNION ALL SELECT e.key, e.event_id, e.at, e.k, least(60.0, f.tokens + greatest(0.0, e.at - f.at)) - CASE WHEN least(60.0, f.tokens + greatest(0.0, e.at - f.at)) >= 1 THEN 1 ELSE 0 END, least(60.0, f.tokens + greatest(0.0, e.at - f.at)) >= 1 FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)
+    """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    f AS (SELECT key, event_id, sec, k, 60.0::DOUBLE AS tokens, true AS allowed FROM e WHERE k = 1 UNION ALL SELECT e.key, e.event_id, e.sec, e.k, least(60.0, f.tokens + greatest(0.0, e.sec - f.sec)) - CASE WHEN least(60.0, f.tokens + greatest(0.0, e.sec - f.sec)) >= 1 THEN 1 ELSE 0 END, least(60.0, f.tokens + greatest(0.0, e.sec - f.sec)) >= 1 FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)
     SELECT key::BIGINT AS key, event_id::BIGINT AS event_id, round(tokens, 6)::DOUBLE AS tokens, allowed FROM f"""
 )
 def z4_rate_limit(spark, d):

@@ -145,7 +145,7 @@ def t17_defensive(spark, d):
 def t19_rebuilt_from_index(spark, d):
     w = documents(spark, d).select("doc_id", F.posexplode(X.space_words("text")).alias("at", "word"))
     index = w.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("at")).alias("places")).groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "places")))).alias("inverted"))
-    return index.select("doc_id", X.rebuilt("inverted").alias("rebuilt"))
+    return X.rebuilt(index, "doc_id", "inverted")
 
 
 SYLLABLES_SQL = "CASE WHEN length(word) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(regexp_replace(word, '(?:[^aeiouy]es|ed|[^aeiouy]e)$', ''), '^y', ''), '[aeiouy]+'))) END"

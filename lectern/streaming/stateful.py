@@ -21,7 +21,7 @@ def limited(events: DataFrame, key: str, id_col: str, time_col: str, most: float
 
     State is folded over sorted partitions, batch by batch, so a key of any size needs only its bucket in memory.
     """
-    rows = events.select(F.col(key).cast("long").alias("key"), F.col(id_col).cast("long").alias("event_id"), (F.unix_micros(time_col) / 1e6).alias("at")).filter("key is not null and at is not null")
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col(id_col).cast("long").alias("event_id"), (F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6).alias("at")).filter("key is not null and at is not null")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, tokens, before = None, 0.0, 0.0
@@ -77,7 +77,7 @@ def cache_hits(requests: DataFrame, id_col: str, text: str, register: str, time_
 
     Requests of one key are grouped by a fold in time order like the limiter's, so hot keys hold one number.
     """
-    rows = requests.select(F.col(id_col).cast("long").alias("event_id"), F.md5(F.concat_ws("||", F.coalesce(text, F.lit("")), F.coalesce(register, F.lit("")))).alias("key"), (F.unix_micros(time_col) / 1e6).alias("at")).filter("at is not null")
+    rows = requests.select(F.col(id_col).cast("long").alias("event_id"), F.md5(F.concat_ws("||", F.coalesce(text, F.lit("")), F.coalesce(register, F.lit("")))).alias("key"), (F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6).alias("at")).filter("at is not null")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, stored = None, 0.0
