@@ -214,7 +214,7 @@ def scored(tabs: list[tuple[int, DataFrame, str]], least_limit: int = 40) -> Dat
     signs = written(ended.filter(F.col("rest") > 5 * expected + 5).select("word", "ends", F.lit(1).alias("sign")))
     placed = written(placed.join(signs, ["word", "ends"], "left").withColumn("sign", F.coalesce("sign", F.lit(0))))
     cells = placed.groupBy("tab", *CELL).agg(F.sum("length_posterior").alias("cut"), F.sum(F.when(F.col("length_posterior") == 0, 1).otherwise(0)).alias("rest")).toPandas()
-    ratio = spark.createDataFrame(evidence(cells))
+    ratio = spark.createDataFrame(evidence(cells), "tab int, " + ", ".join(f"{c} int" for c in CELL) + ", log_ratio double, base double")
     prior = F.when(F.col("length_posterior") > 0, F.col("length_posterior")).otherwise(F.col("base"))
     odds = prior / (1 - prior) * F.exp("log_ratio")
     return placed.join(F.broadcast(ratio), ["tab", *CELL], "left").select("tab", "id", "source", (F.col("length_posterior") > 0).alias("at_limit"), F.when(F.col("ends").isin(MARKED, BROKEN_END), 1.0).otherwise(odds / (1 + odds)).alias("posterior"))
@@ -248,7 +248,7 @@ def evidence(cells: pd.DataFrame, rounds: int = 50) -> pd.DataFrame:
     g["log_ratio"] = np.log(p_cut / p_whole)
     g["base"] = base
     out = cells[["tab", *CELL]].merge(g.drop(columns=["cut", "rest"]), on=CELL)
-    return out.astype({c: "int32" for c in ["tab", *CELL]})
+    return out.astype({c: "int32" for c in ["tab", *CELL]} | {"log_ratio": "float64", "base": "float64"})[["tab", *CELL, "log_ratio", "base"]]
 
 
 def cut_records(tabs: list[tuple[int, DataFrame, str]], threshold: float = 0.5) -> DataFrame:

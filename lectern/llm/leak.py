@@ -1,8 +1,8 @@
 """Held-out evaluation passages inside training documents.
 
 Method: a generalised suffix automaton of the items' normalised words; each document's words are streamed
-through it and the longest matching length at every word is tracked. Maximal exact matches of ``seed``
-words or more name an item and an offset; along that offset the passage is compared word by word, and a
+through it and the longest matching length at every word is tracked. Wherever it reaches ``seed`` words, the
+places of those words name items and offsets; along that offset the passage is compared word by word, and a
 stretch of at least ``least`` words in which no more than ``replaced`` of the words differ is a leak.
 With 20 words and one in ten replaced, an unbroken run of six always remains, so a seed of five loses none.
 
@@ -86,9 +86,8 @@ class SuffixAutomaton:
             stack.extend(self.children[s])
 
     def matches(self, words: list[int], least: int) -> Iterator[tuple[int, int]]:
-        """(end, state) of each maximal match of at least ``least`` words, and of the shorter strings it ends in."""
+        """(end, state) wherever the longest match has at least ``least`` words; the state stands for its last ``least`` words, so its ends are all places where those occur."""
         state = length = 0
-        n = len(words)
         for i, w in enumerate(words):
             while state and w not in self.next[state]:
                 state = self.link[state]
@@ -98,11 +97,11 @@ class SuffixAutomaton:
                 length += 1
             else:
                 length = 0
-            if length >= least and (i + 1 == n or words[i + 1] not in self.next[state]):
+            if length >= least:
                 s = state
-                while s > 0 and (s == state or self.length[s] >= least):
-                    yield i, s
+                while self.length[self.link[s]] >= least:
                     s = self.link[s]
+                yield i, s
 
 
 class Items:
