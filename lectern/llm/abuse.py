@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.lookalike import LOOKS_LIKE
+from lectern.plans.stage import bounded_sample, written
 
 WINDOW, STEP = 32, 16
 LABELLED = 6000
@@ -407,7 +408,7 @@ def _score(key: str, net: Network | None):
 def judged(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[list[str], list[bool]]:
     """Texts and judgements of at most ``most`` judged documents."""
     votes = labels.filter("toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("abusive"))
-    some = votes.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).select("doc_id", "abusive")
+    some = bounded_sample(written(votes), "doc_id", most)
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "abusive").toPandas().sort_values(["doc_id", "text"])
     return rows["text"].tolist(), rows["abusive"].tolist()
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import codepoints as cp
 from lectern.llm.lookalike import LOOKS_LIKE
+from lectern.plans.stage import bounded_sample
 
 #: Texts the model is fitted on, at most.
 SAMPLE = 4000
@@ -257,7 +258,7 @@ class LevelModel:
 
 
 def fitted(df: DataFrame, id_col: str, text_col: str, source_col: str, sample: int = SAMPLE) -> LevelModel:
-    rows = df.filter(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.col(source_col).alias("source")).orderBy("h", "text").limit(sample).toPandas()
+    rows = bounded_sample(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), "id", sample).filter("text is not null").toPandas()
     return LevelModel(rows["text"].tolist(), rows["source"].tolist())
 
 

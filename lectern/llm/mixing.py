@@ -109,8 +109,10 @@ class Mix:
 
     def report(self) -> DataFrame:
         """One row a listed source: target and actual tokens and shares, tokens available, and whether it is short."""
-        spark = self.docs.sparkSession
-        t = spark.createDataFrame(self.table, "source string, weight double, max_repeats int, tokens long, target_tokens double, short boolean")
-        used = self.docs.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.max("repeats").alias("most_repeats"))
-        total = self.docs.agg(F.sum(F.col("tokens") * F.col("repeats")).alias("all_tokens"))
-        return t.join(used, "source", "left").join(F.broadcast(total)).select("source", "weight", "max_repeats", "tokens", "target_tokens", F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), (F.coalesce("used_tokens", F.lit(0)) / F.col("all_tokens")).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "short")
+        # One row a listed source, few by nature.
+        used = self.docs.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.max("repeats").alias("most_repeats")).toPandas()
+        t = self.table.merge(used, on="source", how="left").fillna({"used_tokens": 0, "most_repeats": 0})
+        t["actual_share"] = t["used_tokens"] / max(t["used_tokens"].sum(), 1)
+        columns = "source string, weight double, max_repeats int, tokens long, target_tokens double, used_tokens long, actual_share double, most_repeats int, short boolean"
+        names = [c.split()[0] for c in columns.split(", ")]
+        return self.docs.sparkSession.createDataFrame(t[names].astype({"used_tokens": "int64", "most_repeats": "int64"}), columns)
