@@ -6,7 +6,8 @@ a union, because both branches of a conditional expression would be evaluated.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
 from math import erfc, sqrt
 
 import pandas as pd
@@ -108,10 +109,41 @@ def is_green(token: Column, seed: str = "42", gamma: float = 0.5) -> Column:
     return rest < int(100 * gamma)
 
 
+#: Tokens whose colour a worker keeps.
+KEPT_TOKENS = 500_000
+
+
+def green_counts(tokens: Column, seed: str = "42", gamma: float = 0.5) -> Column:
+    """How many tokens of an array are green. One digest a distinct token, in an Arrow UDF: array lambdas are not compiled, and took some fifty times as long for each token."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        colour: dict[str, bool] = {}
+        limit = int(100 * gamma)
+        for part in parts:
+            out = []
+            for words in part:
+                if words is None:
+                    out.append(None)
+                    continue
+                if len(colour) > KEPT_TOKENS:
+                    colour.clear()
+                n = 0
+                for w in words:
+                    green = colour.get(w)
+                    if green is None:
+                        green = colour[w] = int.from_bytes(md5(f"{seed}:{w}".encode()).digest()) % 100 < limit
+                    n += green
+                out.append(n)
+            yield pd.Series(out, dtype="Int64")
+
+    return F.pandas_udf(run, "long")(tokens)
+
+
 def watermark(df: DataFrame, id_col: str, text_col: str = "text", seed: str = "42", gamma: float = 0.5, z_threshold: float = 4.0, least: int = 20) -> DataFrame:
     """Green tokens of each text against a share of gamma: counts, z, and confidence; texts of fewer than ``least`` tokens have no z."""
     t = df.select(id_col, X.tokens(text_col).alias("_t"))
-    n, green = F.size("_t"), F.size(F.filter("_t", lambda w: is_green(w, seed, gamma)))
+    t = t.select(id_col, F.size("_t").alias("_n"), green_counts(F.col("_t"), seed, gamma).alias("_green"))
+    n, green = F.col("_n"), F.col("_green")
     z = F.when(n >= least, (green - gamma * n) / F.sqrt(n * gamma * (1 - gamma)))
     named = F.when(z >= 1.5 * z_threshold, "high").when(z >= z_threshold, "medium").when(z >= 0.6 * z_threshold, "low").otherwise("none")
     return t.select(id_col, n.alias("tokens"), green.alias("green"), z.alias("z"), named.alias("confidence"))
