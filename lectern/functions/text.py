@@ -165,3 +165,8 @@ def rebuilt(df: DataFrame, id_col: str, index: str) -> DataFrame:
     ordered = words.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", "_word"))).alias("_all"))
     spaced = F.transform("_all", lambda x, i: F.concat(F.repeat(F.lit(" "), x["_at"] - F.coalesce(F.get("_all", i - 1)["_at"], F.lit(0))), x["_word"]))
     return ordered.select(id_col, F.array_join(spaced, "").alias("rebuilt"))
+
+
+def plain_look_alikes(compatible: Column) -> Column:
+    """Of a text in NFKC: Cyrillic look-alikes, dashes and curly quotes to ASCII, the ellipsis to three dots."""
+    return F.replace(F.translate(compatible, L.PLAIN_FROM, L.PLAIN_TO), F.lit("…"), F.lit("..."))

@@ -101,3 +101,7 @@ SYNONYMS = {
 def lists_of(lang: str) -> dict[str, list[str]]:
     """Hedges, boosters, connectors and self-mentions of a language; English ones for any other."""
     return LANGUAGES.get(lang, {"hedge": HEDGES, "booster": BOOSTERS, "connector": CONNECTORS, "self_mention": SELF_MENTIONS})
+
+# Characters of the plain look-alike replacement.
+PLAIN_FROM = "аеорсухАВЕКМНОРСТХ–—‘’“”"
+PLAIN_TO = "aeopcyxABEKMHOPCTX--''\"\""
