@@ -295,12 +295,25 @@ def effect_sizes(spark, d):
     return e.select("language", "feature", "n_human", "n_ai", *[F.round(c, 4).alias(c) for c in ("human_mean", "ai_mean", "cohens_d")])
 
 
+def original(spark, d, *columns):
+    """The eleven features that the norms are of."""
+    docs = documents(spark, d, *columns)
+    return FX.counted(FX.native(docs)).select("doc_id", *columns, *FX.ORIGINAL)
+
+
+@query()
+def effect_sizes_original(spark, d):
+    """Effect sizes of the eleven original features by language and over all; those that need counts have no SQL."""
+    f = original(spark, d, "lang", "label").filter("label in (0, 1)").withColumn("language", F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("unknown")))
+    return stats.effect_sizes(stats.long_form(f, ["language", "label"], FX.ORIGINAL), "language")
+
+
 @query()
 def m9_explained(spark, d):
+    """z-scores of the eleven original features against the norms of the document's register."""
     norms = table(spark, d, "effect_sizes", "register", "feature", "human_mean", "human_sd", "cohens_d")
-    known = [c for c in STYLE]
-    f = style(spark, d, "register").withColumn("register", F.lower(F.trim("register")))
-    return scoring.explained(stats.long_form(f, ["doc_id", "register"], known), norms).select("doc_id", "feature", "norm_register", "z_score", "deviation_towards_ai")
+    f = original(spark, d, "register").withColumn("register", F.lower(F.trim("register")))
+    return scoring.explained(stats.long_form(f, ["doc_id", "register"], FX.ORIGINAL), norms).select("doc_id", "feature", "norm_register", "z_score", "deviation_towards_ai")
 
 
 # ---- corpus --------------------------------------------------------------------------------------------------------

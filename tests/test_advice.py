@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern import catalog
-from lectern.operators import perturb
+from lectern.operators import perturb, training
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -14,3 +14,10 @@ def test_every_strategy_has_an_auc(spark):
     assert set(rows) == {"clean", "combined", *perturb.STRATEGIES}
     assert rows["clean"].auc_delta == 0 and len({r.n_neg for r in rows.values()}) == 1
     assert rows["combined"].auc_delta == pytest.approx(rows["combined"].auc - rows["clean"].auc, abs=2e-6)
+
+
+def test_all_original_features_are_explained(spark):
+    norms = {r.feature for r in spark.read.parquet(f"{SMALL}/effect_sizes.parquet").select("feature").distinct().collect()}
+    assert len(norms) == 11
+    assert {r.feature for r in catalog.QUERIES["m9_explained"](spark, SMALL).select("feature").distinct().collect()} == norms
+    assert {r.feature for r in catalog.QUERIES["effect_sizes_original"](spark, SMALL).select("feature").distinct().collect()} == norms
