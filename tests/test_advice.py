@@ -21,3 +21,18 @@ def test_all_original_features_are_explained(spark):
     assert len(norms) == 11
     assert {r.feature for r in catalog.QUERIES["m9_explained"](spark, SMALL).select("feature").distinct().collect()} == norms
     assert {r.feature for r in catalog.QUERIES["effect_sizes_original"](spark, SMALL).select("feature").distinct().collect()} == norms
+
+
+def test_calibration_reads_the_words_of_the_texts(spark, tmp_path):
+    from shutil import copytree
+
+    copytree(SMALL, tmp_path / "d")
+    run = lambda: {r.kind: r for r in catalog.QUERIES["m7_calibrated"](spark, str(tmp_path / "d")).collect()}
+    a = run()
+    assert set(a) == {"p", "platt", "isotonic"} and {"brier", "log_loss", "ece"} <= set(a["p"].asDict())
+    c = spark.read.parquet(f"{SMALL}/corpus_raw.parquet")
+    c.withColumn("text", F.when(F.col("text").isNotNull(), F.repeat(F.lit("w "), (F.col("label") * 500 + 5).cast("int")))).write.parquet(str(tmp_path / "c"))
+    (tmp_path / "d/corpus_raw.parquet").unlink()
+    (tmp_path / "c").rename(tmp_path / "d/corpus_raw.parquet")
+    b = run()
+    assert b["platt"].brier < a["platt"].brier / 2 and b["isotonic"].brier == pytest.approx(a["isotonic"].brier, abs=0.05)
