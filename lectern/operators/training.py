@@ -111,6 +111,17 @@ def text_classifier(label: str = "label", words: str = "words", size: int = 10_0
     return Pipeline(stages=[NGram(n=2, inputCol=words, outputCol="_pairs"), CountVectorizer(inputCol=words, outputCol="_c1", vocabSize=size), CountVectorizer(inputCol="_pairs", outputCol="_c2", vocabSize=size), VectorAssembler(inputCols=["_c1", "_c2"], outputCol="_counts"), IDF(inputCol="_counts", outputCol="_tfidf"), LinearSVC(featuresCol="_tfidf", labelCol=label)])
 
 
+def text_cross_validated(df: DataFrame, id_col: str, label: str = "label", words: str = "words", k: int = 5, size: int = 10_000) -> DataFrame:
+    """Held-out predictions of the text classifier for every row by stratified folds, vocabulary and weights from the other folds: (columns, fold, prediction)."""
+    folded = sampling.folds(df, [label], id_col, k).persist()
+    out = None
+    for f in range(k):
+        model = text_classifier(label, words, size).fit(folded.filter(F.col("fold") != f))
+        part = model.transform(folded.filter(F.col("fold") == f)).select(*folded.columns, "prediction")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def embedding_probe(df: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
     """Probabilities of a logistic model on an embedding column; for more than two labels the top class is in ``prediction``."""
     x = df.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>")))

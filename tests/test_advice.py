@@ -36,3 +36,13 @@ def test_calibration_reads_the_words_of_the_texts(spark, tmp_path):
     (tmp_path / "c").rename(tmp_path / "d/corpus_raw.parquet")
     b = run()
     assert b["platt"].brier < a["platt"].brier / 2 and b["isotonic"].brier == pytest.approx(a["isotonic"].brier, abs=0.05)
+
+
+def test_text_classifier_predicts_held_out_folds(spark, monkeypatch):
+    fits = []
+    of = training.text_classifier
+    monkeypatch.setattr(training, "text_classifier", lambda label="label", words="words", size=10_000: fits.append(size) or of(label, words, size))
+    df = spark.createDataFrame([(i, i % 2, ["a" if i % 2 else "b", f"only{i}", "c"]) for i in range(40)], "doc_id long, label int, words array<string>")
+    got = training.text_cross_validated(df, "doc_id", k=2).collect()
+    assert fits == [10_000, 10_000] and len(got) == 40 and {r.fold for r in got} == {0, 1}
+    assert all(r.prediction == r.label for r in got)
