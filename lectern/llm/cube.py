@@ -6,7 +6,8 @@ registers, labels and models, and the size) until rows are decided. It runs on e
 rows of one cell have equal columns, so the moves exchange probability within a cell and leave at most one
 undecided row a cell, all others drawn at random. Undecided rows (at most cells x partitions) merge upward
 in groups of ``FAN`` partitions, where the general flight goes on; at the top the landing phase gives up one
-balancing variable after the other, the size last, until every row is decided.
+balancing variable after the other, the size last, until every row is decided. Cells that fall short are
+read from the drawn sample.
 
 Defined results: rows with a null in text, register, label or model are in no cell; a cell whose wanted
 count exceeds what there is gives all its rows and is reported short, and the others take up its part in
@@ -85,10 +86,15 @@ def balancing(cells: pd.DataFrame) -> dict[int, np.ndarray]:
 
 
 def wanted(cells: pd.DataFrame, size: int) -> np.ndarray:
-    """Wanted counts: target shares of the size, at least ``min_rows``, at most what there is; what short cells lack goes to the others in proportion."""
+    """Wanted counts: target shares of the size, at least ``min_rows``, at most what there is.
+
+    A cell with no more rows than its target gives them all; what short cells lack goes to the others in proportion.
+    """
     have = cells["available"].to_numpy(float)
     share = cells["target_share"].to_numpy(float)
     least = np.minimum(np.maximum(cells["min_rows"].to_numpy(float), 0), have)
+    target = np.maximum(least, np.floor(share * size))
+    least = np.where(have <= target, have, least)
     lo, hi = 0.0, 1.0
     fill = lambda k: np.minimum(have, np.maximum(least, k * share * size))
     goal = min(float(size), float(have[(share > 0) | (least > 0)].sum()))
@@ -100,34 +106,59 @@ def wanted(cells: pd.DataFrame, size: int) -> np.ndarray:
     return fill(hi)
 
 
+def _exchange(a: float, b: float, u: float) -> tuple[float, float]:
+    """The flight move of two units with equal balancing columns: their sum stays and one of them is decided."""
+    total = a + b
+    if total < 1:
+        return (total, 0.0) if u * total < a else (0.0, total)
+    return (1.0, total - 1) if u * (2 - total) < 1 - b else (total - 1, 1.0)
+
+
 def _draw(probability: dict[int, float], seed: int):
-    """The flight phase of one partition: of each cell's m rows floor(m p) are drawn and at most one stays undecided."""
+    """The flight phase of one partition.
+
+    Rows of one cell have equal balancing columns, so every move of the flight is an exchange between two of them.
+    In hash order of the ids, m rows of a batch end with floor(m p) drawn and at most one undecided; that one goes
+    on with the undecided row of the batches before. A task holds a batch and one row a cell.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, cell = [], []
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng([seed, part])
+        held: dict[int, tuple[int, float]] = {}
+
+        def batch_of(ids: list, cells: list, p: list) -> pa.RecordBatch:
+            where = np.full(len(ids), part, np.int32)
+            columns = [pa.array(ids, pa.int64()), pa.array(cells, pa.int64()), pa.array(p, pa.float64()), pa.array(where)]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "cell_id", "p", "part"])
+
         for b in batches:
-            ids.append(b.column("id").to_numpy(zero_copy_only=False))
-            cell.append(b.column("cell_id").to_numpy(zero_copy_only=False))
-        if not ids or not sum(map(len, ids)):
-            return
-        ids, cell = np.concatenate(ids), np.concatenate(cell)
-        order = np.lexsort((ids, mix(ids.view(np.uint64) + np.uint64(seed)), cell))
-        ids, cell = ids[order], cell[order]
-        value, first, count = np.unique(cell, return_index=True, return_counts=True)
-        out_id, out_cell, out_p = [], [], []
-        for c, f, m in zip(value, first, count):
-            total = m * probability[int(c)]
-            k = int(np.floor(total + EPS))
-            left = total - k
-            n = min(m, k + (left > EPS))
-            p = np.ones(n)
-            if n > k:
-                p[-1] = left
-            out_id.append(ids[f : f + n])
-            out_cell.append(np.full(n, c))
-            out_p.append(p)
-        n = sum(map(len, out_id))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_cell)), pa.array(np.concatenate(out_p)), pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))], names=["id", "cell_id", "p", "part"])
+            ids, cell = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "cell_id"))
+            order = np.lexsort((ids, mix(ids.view(np.uint64) + np.uint64(seed)), cell))
+            ids, cell = ids[order], cell[order]
+            value, first, count = np.unique(cell, return_index=True, return_counts=True)
+            drawn, drawn_cell = [], []
+            for c, f, m in zip(value.tolist(), first.tolist(), count.tolist()):
+                total = m * probability[c]
+                k = int(np.floor(total + EPS))
+                drawn += ids[f : f + k].tolist()
+                drawn_cell += [c] * k
+                left = total - k
+                if left <= EPS or k >= m:
+                    continue
+                other = (int(ids[f + k]), left)
+                if c in held:
+                    p, q = _exchange(held[c][1], left, rng.random())
+                    both = [(held.pop(c)[0], p), (other[0], q)]
+                    drawn += [i for i, x in both if x >= 1 - EPS]
+                    drawn_cell += [c] * sum(x >= 1 - EPS for _, x in both)
+                    rest = [(i, x) for i, x in both if EPS < x < 1 - EPS]
+                    if rest:
+                        held[c] = rest[0]
+                else:
+                    held[c] = other
+            yield batch_of(drawn, drawn_cell, [1.0] * len(drawn))
+        yield batch_of([i for i, _ in held.values()], list(held), [x for _, x in held.values()])
 
     return run
 
@@ -159,7 +190,6 @@ class CubeSample:
         self.size = total // fraction
         t["available"] = [counts.get(c, 0) for c in t["cell_id"]]
         t["target_rows"] = np.maximum(t["min_rows"], np.floor(t["target_share"] * self.size)).astype("int64")
-        t["short"] = t["available"] < t["target_rows"]
         t["wanted"] = wanted(t, self.size)
         self.table = t
         probability = {int(c): min(1.0, w / a) if a else 0.0 for c, w, a in zip(t["cell_id"], t["wanted"], t["available"])}
@@ -182,8 +212,13 @@ class CubeSample:
         self.rows = taken
 
     def report(self) -> DataFrame:
-        """One row a cell: target, available and sampled counts, whether it is short, and the residual imbalance (sampled less wanted)."""
+        """One row a cell: target, available and sampled counts, the residual imbalance (sampled less wanted), and
+        whether the cell is short: the drawn sample holds all its rows and they are fewer than its target."""
         spark = self.rows.sparkSession
-        t = spark.createDataFrame(self.table[["cell_id", "target_share", "min_rows", "target_rows", "available", "wanted", "short"]], "cell_id long, target_share double, min_rows long, target_rows long, available long, wanted double, short boolean")
+        names = ["cell_id", "target_share", "min_rows", "target_rows", "available", "wanted"]
+        kinds = "cell_id long, target_share double, min_rows long, target_rows long, available long, wanted double"
+        t = spark.createDataFrame(self.table[names], kinds)
         drawn = self.rows.groupBy("cell_id").agg(F.count(F.lit(1)).alias("sampled"))
-        return t.join(drawn, "cell_id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(0))).withColumn("residual", F.col("sampled") - F.col("wanted"))
+        joined = t.join(drawn, "cell_id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
+        short = (F.col("sampled") < F.col("target_rows")) & (F.col("sampled") >= F.col("available"))
+        return joined.withColumn("short", short).withColumn("residual", F.col("sampled") - F.col("wanted"))

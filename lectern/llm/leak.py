@@ -3,12 +3,18 @@
 Method: a generalised suffix automaton of the items' normalised words; each document's words are streamed
 through it and the longest matching length at every word is tracked. Wherever it reaches ``seed`` words, the
 places of those words name items and offsets; along that offset the passage is compared word by word, and a
-stretch of at least ``least`` words in which no more than ``replaced`` of the words differ is a leak.
-With 20 words and one in ten replaced, an unbroken run of six always remains, so a seed of five loses none.
+stretch of at least ``least`` words in which no more than ``replaced`` of the words differ is a leak. Such a
+stretch of 20 words with two replaced holds at least 16 - 2 * 5 = 6 matches of five words at one offset; offsets
+with fewer, as phrases common to many items make, are not compared. Leaked stretches are the spans that are
+removed; a document of which more than a limit would go is removed whole.
+
+A word is a run of letters or digits; before that, characters that show nothing are dropped and letters lose
+case, accents and styles, on both sides.
 
 A document without any of the items' runs of ``seed`` words cannot reach that matching length; such
 documents are told by hash before the automaton is run. Items are taken in blocks of ``BLOCK_WORDS`` words,
-one automaton each, so what a task holds is bounded however many items there are.
+each broadcast once; a task holds the automata of one block, however many items there are. The passages,
+as hashes of their words, pass through the driver: held-out items are a small set by nature.
 
 Defined results: null or empty texts and passages match nothing; equal passages of several items are each
 reported; a document with several leaks of one item is one row; repeated ids count once; empty tables give
@@ -17,8 +23,10 @@ empty tables; other columns are not read.
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import unicodedata
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import codepoints as cp
+from lectern.plans.stage import written
 
 BLOCK_WORDS = 400_000
 #: Offsets this far apart count as one: a word that is split in two moves what follows.
@@ -104,6 +113,28 @@ class SuffixAutomaton:
                 yield i, s
 
 
+@cache
+def _plain_table() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it shows nothing of its own (format characters and combining marks), and its base letter."""
+    hidden, base = np.zeros(cp.TOP, bool), np.arange(cp.TOP, dtype=np.uint32)
+    for i in range(cp.TOP):
+        ch = chr(i)
+        hidden[i] = unicodedata.category(ch) in ("Cf", "Mn", "Me")
+        if i > 0x7F and not hidden[i] and not 0xAC00 <= i < 0xD7A4:
+            bare = [c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)]
+            if len(bare) == 1 and ord(bare[0]) < cp.TOP:
+                base[i] = ord(bare[0])
+    return hidden, base
+
+
+def plain(p: cp.Pass) -> tuple[cp.Pass, np.ndarray]:
+    """The texts without hidden characters and accents, and the place of each kept character in the pass."""
+    hidden, base = _plain_table()
+    kept = np.flatnonzero(~hidden[p.at])
+    code = np.where(p.code[kept] < cp.TOP, base[p.at[kept]], p.code[kept]).astype(np.uint32)
+    return cp.Pass(p.i, p.j, code, np.searchsorted(kept, p.off)), kept
+
+
 class Items:
     """A block of passages as word hashes, with its vocabulary, runs and automaton."""
 
@@ -118,86 +149,149 @@ class Items:
         at = np.minimum(np.searchsorted(self.vocabulary, hashed), max(len(self.vocabulary) - 1, 0))
         return np.where(self.vocabulary[at] == hashed, at, -1).tolist() if len(self.vocabulary) else [-1] * len(hashed)
 
-    def leaks(self, hashed: np.ndarray, seed: int, least: int, replaced: float) -> list[tuple[int, int]]:
-        """(item, longest leaked stretch in words) for each item of which the document holds enough."""
-        offsets = {(s, i - at) for i, state in self.automaton.matches(self.numbers(hashed), seed) for s, at in self.automaton.ends(state)}
-        best: dict[int, int] = {}
-        for s, d in offsets:
-            n = longest(self.passages[s], hashed, d, least, replaced)
-            if n >= least:
-                best[self.ids[s]] = max(best.get(self.ids[s], 0), n)
-        return sorted(best.items())
+    def leaks(self, hashed: np.ndarray, seed: int, least: int, replaced: float) -> list[tuple[int, int, int, float]]:
+        """(item, first word, last word + 1, share of the passage) of the longest leaked stretch of each item of which
+        the document holds enough."""
+        hits: Counter[tuple[int, int]] = Counter()
+        for i, state in self.automaton.matches(self.numbers(hashed), seed):
+            for s, at in self.automaton.ends(state):
+                hits[s, i - at] += 1
+        enough = max(1, (least - seed + 1) - int(least * replaced + 1e-9) * seed)
+        best: dict[int, tuple[int, int, float]] = {}
+        for s, d in hits:
+            if sum(hits.get((s, d + k), 0) for k in range(-DRIFT, DRIFT + 1)) < enough:
+                continue
+            a, b = longest(self.passages[s], hashed, d, least, replaced)
+            if b - a >= least and b - a > best.get(self.ids[s], (0, 0, 0.0))[1] - best.get(self.ids[s], (0, 0, 0.0))[0]:
+                start, end = max(0, a + d), min(len(hashed), b + d)
+                best[self.ids[s]] = (start, end, (b - a) / len(self.passages[s]))
+        return [(item, *found) for item, found in sorted(best.items())]
 
 
-def longest(passage: np.ndarray, doc: np.ndarray, offset: int, least: int, replaced: float) -> int:
-    """The longest stretch of the passage, of ``least`` words or more, found at the offset with no more than that share of words replaced; 0 if none."""
+def longest(passage: np.ndarray, doc: np.ndarray, offset: int, least: int, replaced: float) -> tuple[int, int]:
+    """Start and end in the passage of its longest stretch, of ``least`` words or more, found at the offset with no
+    more than that share of words replaced; (0, 0) if none."""
     n = len(passage)
     same = np.zeros(n, bool)
     for d in range(offset - DRIFT, offset + DRIFT + 1):
         a, b = max(0, -d), min(n, len(doc) - d)
         if b > a:
             same[a:b] |= passage[a:b] == doc[a + d : b + d]
-    inside = np.flatnonzero(same)
-    if len(inside) < least * (1 - replaced):
-        return 0
+    if same.sum() < least * (1 - replaced):
+        return 0, 0
     score = np.concatenate([[0], np.cumsum(np.where(same, replaced, replaced - 1))])
-    # Stretches from i to j with score[j] >= score[i].
-    length = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]
-    fit = (length >= least) & (score[None, :] - score[:, None] >= -1e-9)
-    return int(length[fit].max()) if fit.any() else 0
+    # For each end, the first start whose score is no higher; those are where the lowest score so far is reached.
+    lowest = np.minimum.accumulate(score)
+    start = np.searchsorted(-lowest, -score - 1e-9, "left")
+    length = np.arange(n + 1) - start
+    end = int(np.argmax(length))
+    return (int(start[end]), end) if length[end] >= least else (0, 0)
 
 
 _held: OrderedDict[str, Items] = OrderedDict()
+_SPAN = "doc_id long, item_id long, first_word int, last_word int, first_char int, last_char int, words int, leaked int, coverage double"
 
 
-def _find(key: str, ids: list[int], passages: list[bytes], seed: int, least: int, replaced: float):
+def _find(key: str, block, seed: int, least: int, replaced: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _held:
+            ids, passages = block.value
             _held[key] = Items(ids, [np.frombuffer(x, np.uint64) for x in passages], seed)
             while len(_held) > 2:
                 _held.popitem(last=False)
         items = _held[key]
+        kinds = [pa.int64()] * 2 + [pa.int32()] * 6 + [pa.float64()]
         for b in batches:
-            docs, found, lengths = [], [], []
+            out: list[tuple] = []
             doc_ids = b.column("id")
-            for p in cp.passes(b.column("text")):
+            for whole in cp.passes(b.column("text")):
+                p, kept = plain(whole)
                 start, end, first = cp.words(p)
                 hashed = cp.word_hashes(p, start, end)
                 runs, bound = cp.runs(hashed, first, seed)
                 at = np.minimum(np.searchsorted(items.runs, runs), max(len(items.runs) - 1, 0))
                 hit = np.flatnonzero(items.runs[at] == runs) if len(items.runs) else np.zeros(0, np.int64)
                 for i in np.unique(np.searchsorted(bound, hit, "right") - 1):
-                    for item, n in items.leaks(hashed[first[i] : first[i + 1]], seed, least, replaced):
-                        docs.append(doc_ids[int(p.i + i)].as_py())
-                        found.append(item)
-                        lengths.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64()), pa.array(lengths, pa.int32())], names=["doc_id", "item_id", "leaked"])
+                    lo, hi = first[i], first[i + 1]
+                    for item, a, z, coverage in items.leaks(hashed[lo:hi], seed, least, replaced):
+                        char = kept[start[lo + a]] - whole.off[i], kept[end[lo + z - 1] - 1] + 1 - whole.off[i]
+                        out.append((doc_ids[int(p.i + i)].as_py(), item, a, z, *map(int, char), int(hi - lo), z - a, coverage))
+            columns = list(zip(*out)) if out else [()] * len(kinds)
+            names = [c.split()[0] for c in _SPAN.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 5, least: int = 20, replaced: float = 0.1) -> DataFrame:
-    """(doc_id, item_id, leaked): each document and item whose passage it holds, with the longest stretch in words."""
+def leaked_spans(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 5,
+    least: int = 20, replaced: float = 0.1,
+) -> DataFrame:
+    """One row for each document and item whose passage it holds: the longest leaked stretch in words and characters of
+    the document, the document's words, the stretch's words, and its share of the passage."""
     spark = docs.sparkSession
     ids, passages = [], []
-    for row in items.select("item_id", "passage").filter("item_id is not null and passage is not null").orderBy("item_id").toLocalIterator():
-        p = next(cp.passes(pa.array([row[1]])))
+    wanted = items.select("item_id", "passage").filter("item_id is not null and passage is not null").orderBy("item_id")
+    for row in wanted.toLocalIterator():
+        p, _ = plain(next(cp.passes(pa.array([row[1]]))))
         start, end, _ = cp.words(p)
         if len(start):
             ids.append(int(row[0]))
             passages.append(cp.word_hashes(p, start, end))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    out = None
-    i = 0
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.filter("id is not null and text is not null")
+    out, i = None, 0
     while i < len(ids):
         j, words = i, 0
         while j < len(ids) and (j == i or words + len(passages[j]) <= BLOCK_WORDS):
             words += len(passages[j])
             j += 1
-        key = f"{spark.sparkContext.applicationId}-{hash(tuple(ids[i:j]))}-{int(np.concatenate(passages[i:j]).sum())}-{seed}"
-        block = rows.mapInArrow(_find(key, ids[i:j], [x.tobytes() for x in passages[i:j]], seed, least, replaced), "doc_id long, item_id long, leaked int")
-        out = block if out is None else out.unionAll(block)
+        sums = int(np.concatenate(passages[i:j]).sum())
+        key = f"{spark.sparkContext.applicationId}-{hash(tuple(ids[i:j]))}-{sums}-{seed}"
+        block = spark.sparkContext.broadcast((ids[i:j], [x.tobytes() for x in passages[i:j]]))
+        found = rows.mapInArrow(_find(key, block, seed, least, replaced), _SPAN)
+        out = found if out is None else out.unionAll(found)
         i = j
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, leaked int")
-    return out.groupBy("doc_id", "item_id").agg(F.max("leaked").alias("leaked"))
+    return out if out is not None else spark.createDataFrame([], _SPAN)
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+    """(doc_id, item_id, leaked, coverage): each document and item whose passage it holds, with the longest stretch."""
+    spans = leaked_spans(docs, items, **settings)
+    return spans.groupBy("doc_id", "item_id").agg(F.max("leaked").alias("leaked"), F.max("coverage").alias("coverage"))
+
+
+def cleaned(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_share: float = 0.5, **settings
+) -> DataFrame:
+    """(doc_id, text, words, removed_words, whole): every document without its leaked spans.
+
+    Spans that overlap are removed as one. A document of whose words more than ``most_share`` would go is removed
+    whole: its text is null. Texts without leaks stay as they are; repeated ids lose the spans of either.
+    """
+    spans = written(leaked_spans(docs, items, id_col, text_col, **settings))
+    of_doc = spans.groupBy("doc_id").agg(
+        F.array_sort(F.collect_set(F.struct("first_char", "last_char", "first_word", "last_word"))).alias("spans"),
+        F.max("words").alias("words"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("word"), F.lit("").alias("out"), F.lit(0).alias("removed"))
+    text = F.col(text_col)
+
+    def without(acc, s):
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["first_char"] - acc["at"], F.lit(0)))
+        removed = acc["removed"] + F.greatest(s["last_word"] - F.greatest(s["first_word"], acc["word"]), F.lit(0))
+        return F.struct(
+            F.greatest(acc["at"], s["last_char"]).alias("at"),
+            F.greatest(acc["word"], s["last_word"]).alias("word"),
+            F.concat(acc["out"], gap).alias("out"),
+            removed.alias("removed"),
+        )
+
+    kept = F.aggregate("spans", start, without)
+    joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).join(of_doc, "doc_id", "left")
+    joined = joined.withColumn("_k", F.when(F.col("spans").isNotNull(), kept))
+    rest = F.concat(F.col("_k.out"), F.substring(text, F.col("_k.at") + 1, 2_000_000_000))
+    removed = F.coalesce(F.col("_k.removed"), F.lit(0))
+    whole = F.coalesce(removed > F.col("words") * most_share, F.lit(False))
+    clean = F.when(whole, None).when(F.col("spans").isNotNull(), rest).otherwise(text)
+    return joined.select("doc_id", clean.alias("text"), removed.alias("removed_words"), whole.alias("whole"))

@@ -56,9 +56,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return docs, table(spark, sf_dir, "eval_items", "item_id", "passage")
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, with the longest leaked stretch in words."""
-    return leak.leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "passage"))
+    """The same, with the longest leaked stretch in words and its share of the passage."""
+    return leak.leaked_items(*_p7(spark, sf_dir))
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in the documents the leaked stretches stand, in words and characters."""
+    return leak.leaked_spans(*_p7(spark, sf_dir)).drop("words").distinct()
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its leaked spans: the new text by its hash and length, and what was removed."""
+    clean = leak.cleaned(*_p7(spark, sf_dir))
+    return clean.select("doc_id", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"), "removed_words", "whole")
 
 
 P1_TABS = ("corpus_raw", "error_examples")
@@ -156,7 +172,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(p9_scores(spark, sf_dir))
 
 
-QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p2_found": p2_found, "p2_profile": p2_profile, "p2_cv": p2_cv, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
+QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p2_found": p2_found, "p2_profile": p2_profile, "p2_cv": p2_cv, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_spans": p7_spans, "p7_clean": p7_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
 SQL: dict[str, str] = {
     "p5_found": """
         WITH rows AS (SELECT lower(trim(register)) AS register, label, lower(trim(model)) AS model FROM corpus_raw WHERE text IS NOT NULL),
