@@ -5,7 +5,8 @@ word length and syllables, vocabulary, clause words and cohesion. The grade they
 four published readability formulas (Flesch-Kincaid, ARI, Coleman-Liau, Gunning fog) on texts whose
 sentences are marked; each such text is also learned without its punctuation and line breaks, so that
 grades hold for texts that lost theirs. Predictions are calibrated by a monotone fit (isotonic regression)
-to held-out predictions, and cross-validated with whole sources held out.
+to held-out predictions. In cross-validation whole sources are held out, from the trees and from the
+calibration alike, and the errors are those of all texts of a source.
 
 The model is fitted on ``SAMPLE`` texts, those with the smallest hashes of their ids; every text is graded.
 Characters that show nothing are left out and look-alike letters count as the letters they resemble.
@@ -17,6 +18,7 @@ repeated rows get the same grade; an empty table gives an empty table; other col
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -220,6 +222,19 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
 
 
+def fold_of(source: str, folds: int) -> int:
+    return zlib.crc32(source.encode()) % folds
+
+
+def band_of(grade: np.ndarray) -> np.ndarray:
+    return np.where(grade < EASY, 0, np.where(grade >= HARD, 2, 1))
+
+
+def is_marked(x: np.ndarray) -> np.ndarray:
+    """Texts of 20 words or more whose sentences are marked: those the formulas can grade."""
+    return (x[:, 0] >= 20) & (x[:, FEATURES.index("unmarked")] == 0) & (x[:, FEATURES.index("sent_mean")] > 0)
+
+
 class LevelModel:
     def __init__(self, texts: list[str], sources: list[str], folds: int = 5):
         rows, bare = [], []
@@ -227,18 +242,18 @@ class LevelModel:
             rows.append(features(p))
             bare.append(features(p, strip=True))
         x, stripped = (np.concatenate(r) if r else np.zeros((0, len(FEATURES))) for r in (rows, bare))
-        marked = (x[:, 0] >= 20) & (x[:, FEATURES.index("unmarked")] == 0) & (x[:, FEATURES.index("sent_mean")] > 0)
+        marked = is_marked(x)
         x, stripped, source = x[marked], stripped[marked], np.array([s or "" for s in sources], object)[marked]
         y = formula_grades(x)
         self.cv = pd.DataFrame(columns=["source", "n", "mae", "bias", "band_agreement"])
+        self.n_folds, self.folds, self.fold_knots = folds, {}, {}
         self.knots = (np.array([0.0, 20.0]), np.array([0.0, 20.0]))
         if len(y) < 50:
             self.model = Boosted(rounds=0).fit(x, y) if len(y) else None
             return
         self.model = Boosted().fit(np.concatenate([x, stripped]), np.concatenate([y, y]))
-        # Whole sources are held out together.
-        names, number = np.unique(source, return_inverse=True)
-        fold = number % folds
+        # Whole sources are held out together; a fold's predictions are calibrated on those of the other folds.
+        fold = np.array([fold_of(s, folds) for s in source])
         held = np.zeros((2, len(y)))
         for f in np.unique(fold):
             a, b = fold != f, fold == f
@@ -247,11 +262,27 @@ class LevelModel:
                 continue
             m = Boosted(rounds=60, rate=0.2).fit(np.concatenate([x[a], stripped[a]]), np.concatenate([y[a], y[a]]))
             held[0, b], held[1, b] = m.predict(x[b]), m.predict(stripped[b])
+            self.folds[int(f)] = m
         self.knots = isotonic(held.reshape(-1), np.concatenate([y, y]))
-        calibrated = np.interp(held[0], *self.knots)
-        band = lambda g: np.where(g < EASY, 0, np.where(g >= HARD, 2, 1))
-        frame = pd.DataFrame({"source": source, "error": calibrated - y, "agree": band(calibrated) == band(y)})
-        self.cv = frame.groupby("source").agg(n=("error", "size"), mae=("error", lambda e: float(np.abs(e).mean())), bias=("error", "mean"), band_agreement=("agree", "mean")).reset_index()
+        for f in self.folds:
+            a = fold != f
+            self.fold_knots[f] = isotonic(held[:, a].reshape(-1), np.concatenate([y[a], y[a]]))
+        calibrated = np.array([np.interp(h, *self.fold_knots.get(int(f), self.knots)) for h, f in zip(held[0], fold)])
+        frame = pd.DataFrame({"source": source, "error": calibrated - y, "agree": band_of(calibrated) == band_of(y)})
+        self.cv = frame.groupby("source").agg(
+            n=("error", "size"), mae=("error", lambda e: float(np.abs(e).mean())), bias=("error", "mean"),
+            band_agreement=("agree", "mean"),
+        ).reset_index()
+
+    def held_out(self, x: np.ndarray, source: list[str | None]) -> np.ndarray:
+        """Grades of texts by the model and calibration of the fold that never saw their source."""
+        fold = np.array([fold_of(s or "", self.n_folds) for s in source], int)
+        out = self.grade(x)
+        for f, m in self.folds.items():
+            rows = np.flatnonzero(fold == f)
+            if len(rows):
+                out[rows] = np.clip(np.interp(m.predict(x[rows]), *self.fold_knots[f]), 0, 20)
+        return out
 
     def grade(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.model.predict(x), *self.knots), 0, 20) if self.model else np.zeros(len(x))
@@ -282,6 +313,37 @@ def graded(df: DataFrame, id_col: str = "row_id", text_col: str = "text", regist
     return out.withColumn("band", F.when(F.col("grade") < EASY, "easy").when(F.col("grade") >= HARD, "hard").otherwise("middle"))
 
 
+def _errors(model: LevelModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sources = b.column("source").to_pylist()
+            for p in cp.passes(b.column("text")):
+                x = features(p)
+                rows = np.flatnonzero(is_marked(x))
+                named = [sources[p.i + i] for i in rows]
+                y, held = formula_grades(x[rows]), model.held_out(x[rows], named)
+                agree = (band_of(held) == band_of(y)).astype(float)
+                columns = [pa.array(named, pa.string()), pa.array(held - y), pa.array(agree)]
+                yield pa.RecordBatch.from_arrays(columns, names=["source", "error", "agree"])
+
+    return run
+
+
+def cross_validated(df: DataFrame, id_col: str, text_col: str, source_col: str, sample: int = SAMPLE) -> DataFrame:
+    """(source, n, mae, bias, band_agreement) over all texts whose sentences are marked.
+
+    The models are fitted on the bounded sample; each text is graded by the one that never saw its source, and
+    calibrated without it.
+    """
+    model = fitted(df, id_col, text_col, source_col, sample)
+    rows = df.select(F.col(source_col).alias("source"), F.col(text_col).alias("text")).filter("text is not null")
+    errors = rows.mapInArrow(_errors(model), "source string, error double, agree double")
+    return errors.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs("error")).alias("mae"), F.avg("error").alias("bias"),
+        F.avg("agree").alias("band_agreement"),
+    )
+
+
 def profile(levels: DataFrame) -> DataFrame:
     """Levels by register: rows, mean and quartiles of the grade, shares of easy and hard."""
     return levels.groupBy("register").agg(F.count(F.lit(1)).alias("rows"), F.avg("grade").alias("mean_grade"), *(F.percentile_approx("grade", q, 1000).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)), F.avg((F.col("band") == "easy").cast("double")).alias("easy"), F.avg((F.col("band") == "hard").cast("double")).alias("hard"))

@@ -153,8 +153,7 @@ def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated errors of the calibrated grades, whole sources held out."""
-    model = level.fitted(table(spark, sf_dir, "corpus_raw", "row_id", "text", "source"), "row_id", "text", "source")
-    return spark.createDataFrame(model.cv, "source string, n long, mae double, bias double, band_agreement double")
+    return level.cross_validated(table(spark, sf_dir, "corpus_raw", "row_id", "text", "source"), "row_id", "text", "source")
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
