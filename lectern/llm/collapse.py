@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lectern.functions import codepoints as cp
+from lectern.llm.neardup import connected
 from lectern.plans.stage import written
 
 #: Fields of a text that is no JSON object are parted by ";" or a line break before a name and ":" or "=".
@@ -141,7 +142,8 @@ def runs_of(df: DataFrame) -> DataFrame:
     """Of rows (k, id, more): ``id``, ``head`` (the smallest id with the same ``k``) and ``more``. Keys are not null."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = df.select("k", "id", "more", F.xxhash64("k").alias("h1"), F.hash("k").alias("h2"))
+    # Written first: the bounds of the ranges are found by reading the hashes, without making the keys again.
+    hashed = written(df.select("k", "id", "more", F.xxhash64("k").alias("h1"), F.hash("k").alias("h2")))
     ranged = hashed.repartitionByRange(n, "h1", "h2", "id").sortWithinPartitions("h1", "h2", "k", "id").select("k", "id", "more")
     scanned = written(ranged.mapInArrow(_scan, _SCHEMA))
     # One row a partition: as many as the shuffle is wide, whatever the data.
@@ -159,11 +161,16 @@ def collapse_copies(df: DataFrame, id_col: str, text_col: str, least_words: int
     """``row_id`` and ``keep_id`` (the smallest id of its copies) of every row of ``df`` whose text is not null and has at least ``least_words`` words."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     first = runs_of(rows.mapInArrow(_keys(least_words), "k string, id long, more string"))
-    # Runs of texts with fields, collapsed once more by their sorted fields.
-    fields = first.filter("more is not null").groupBy("head").agg(F.min("more").alias("k"))
-    second = runs_of(fields.select("k", F.col("head").alias("id"), F.lit(None).cast("string").alias("more")))
-    second = second.filter("head <> id").select(F.col("id").alias("head"), F.col("head").alias("merged"))
-    return first.join(second, "head", "left").select(F.col("id").alias("row_id"), F.coalesce("merged", "head").alias("keep_id"))
+    # Runs of texts with fields, collapsed once more by their sorted fields; a run may have several such readings.
+    fields = written(first.filter("more is not null").select(F.col("more").alias("k"), F.col("head").alias("id")).distinct())
+    second = runs_of(fields.withColumn("more", F.lit(None).cast("string"))).filter("head <> id")
+    if fields.groupBy("id").count().filter("count > 1").limit(1).count():
+        merged = connected(second.select(F.col("id").alias("u"), F.col("head").alias("v")))
+        merged = merged.filter("id <> root").select(F.col("id").alias("head"), F.col("root").alias("merged"))
+    else:
+        merged = second.select(F.col("id").alias("head"), F.col("head").alias("merged"))
+    joined = first.join(merged, "head", "left")
+    return joined.select(F.col("id").alias("row_id"), F.coalesce("merged", "head").alias("keep_id"))
 
 
 def copies_found(df: DataFrame, id_col: str = "row_id", text_col: str = "text", least_words: int = 20) -> DataFrame:

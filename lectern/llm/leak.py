@@ -162,7 +162,7 @@ class Items:
             if sum(hits.get((s, d + k), 0) for k in range(-DRIFT, DRIFT + 1)) < enough:
                 continue
             a, b = longest(self.passages[s], hashed, d, least, replaced)
-            if b - a >= least and b - a > best.get(self.ids[s], (0, 0, 0.0))[1] - best.get(self.ids[s], (0, 0, 0.0))[0]:
+            if b - a > best.get(self.ids[s], (0, 0, 0.0))[1] - best.get(self.ids[s], (0, 0, 0.0))[0]:
                 start, end = max(0, a + d), min(len(hashed), b + d)
                 best[self.ids[s]] = (start, end, (b - a) / len(self.passages[s]))
         return [(item, *found) for item, found in sorted(best.items())]
@@ -170,7 +170,7 @@ class Items:
 
 def longest(passage: np.ndarray, doc: np.ndarray, offset: int, least: int, replaced: float) -> tuple[int, int]:
     """Start and end in the passage of its longest stretch, of ``least`` words or more, found at the offset with no
-    more than that share of words replaced; (0, 0) if none."""
+    more than that share of words replaced; (0, 0) if none. Replaced words at its edges are not part of it."""
     n = len(passage)
     same = np.zeros(n, bool)
     for d in range(offset - DRIFT, offset + DRIFT + 1):
@@ -185,7 +185,10 @@ def longest(passage: np.ndarray, doc: np.ndarray, offset: int, least: int, repla
     start = np.searchsorted(-lowest, -score - 1e-9, "left")
     length = np.arange(n + 1) - start
     end = int(np.argmax(length))
-    return (int(start[end]), end) if length[end] >= least else (0, 0)
+    if length[end] < least:
+        return 0, 0
+    found = np.flatnonzero(same[start[end] : end])
+    return int(start[end] + found[0]), int(start[end] + found[-1] + 1)
 
 
 _held: OrderedDict[str, Items] = OrderedDict()

@@ -132,6 +132,24 @@ def one_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(forms(rows.select("m")), "m", "left").select("id", F.col("canon").alias("form"))
 
 
+def form_hashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, form): every row with the SHA-256 of its text's canonical form; null texts have none.
+
+    Only texts outside ASCII can have another canonical form than their own, and only in classes (by the hash of
+    the accent-free form) with several mapped forms; no other text leaves the task that read it.
+    """
+    m = mapped(F.col(text_col))
+    wide = F.when(F.octet_length("m") != F.length("m"), F.col("m"))
+    rows = df.select(F.col(id_col).alias("id"), m.alias("m"), F.xxhash64(skeleton(F.col(text_col))).alias("s"))
+    narrow = written(rows.select("id", "s", F.sha2("m", 256).alias("form"), wide.alias("m")))
+    several = narrow.filter("m is not null").groupBy("s").agg(F.min("form").alias("a"), F.max("form").alias("b"))
+    several = written(several.filter("a <> b").select("s", F.lit(True).alias("torn")))
+    placed = narrow.join(several, "s", "left")
+    torn = placed.filter("torn and m is not null").select("id", "m")
+    told = torn.join(forms(torn.select("m")), "m").select("id", F.sha2("canon", 256).alias("form"))
+    return placed.filter("torn is null or m is null").select("id", "form").unionAll(told)
+
+
 def word_count_at_least(text: Column, n: int) -> Column:
     return F.size(F.filter(F.split(text, SPACE + "+"), lambda w: w != "")) >= n
 

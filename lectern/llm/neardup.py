@@ -3,10 +3,10 @@
 A text's fingerprint holds ``SIZE`` minima of its distinct runs of ``k`` words, one under each of as many
 hash functions; two texts agree in a component with the probability of their similarity. The fingerprint
 is cut into ``SIZE / WIDTH`` blocks. By the pigeonhole principle two fingerprints that differ in fewer
-components than there are blocks share a block; a pair just at the threshold misses all of them with a
-probability of (1 - s^WIDTH)^(SIZE / WIDTH). Pairs that share a block are kept if their Hamming distance is
+components than there are blocks (20) share a block for sure, as do most pairs above a similarity of two thirds. Below, it is a matter of probability: a pair of similarity s misses all blocks with a probability of
+(1 - s^WIDTH)^(SIZE / WIDTH), 0.8 % at 0.6 and 0.16 % at 0.65. Pairs that share a block are kept if their Hamming distance is
 within what the threshold allows, and then checked exactly on the sets of runs of their texts, which are
-made only for texts of such pairs.
+made only for texts of such pairs, told by a Bloom filter of their ids where the texts are read.
 
 Texts with the same set of runs are one class: only the class's smallest id takes part in the join, and
 members are added afterwards. A block or key of any size is handled by the sort-merge join, whose skewed
@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import codepoints as cp
-from lectern.plans.stage import broadcast_if_small, written
+from lectern.llm.bloom import bloom, may_hold
+from lectern.plans.stage import written
 
 SIZE, WIDTH = 60, 3
 _SEEDS = cp.mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64))
@@ -74,19 +75,23 @@ def _sketch(k: int, least_words: int):
     return run
 
 
-def _runs(k: int):
-    """The distinct runs of each text, as 32-bit hashes."""
+def _runs(k: int, sent):
+    """The distinct runs, as 32-bit hashes, of the texts that the broadcast filter of ids lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            near = may_hold(sent.value, b.column("id").to_numpy(zero_copy_only=False))
+            b = b.take(pa.array(np.flatnonzero(near)))
             for p in cp.passes(b.column("text")):
                 start, end, first = cp.words(p)
                 hashed, bound = cp.runs(cp.word_hashes(p, start, end), first, k)
                 owner = np.repeat(np.arange(len(bound) - 1, dtype=np.uint64), np.diff(bound))
                 distinct = np.unique((owner << np.uint64(32)) | (hashed >> np.uint64(32)))
-                bound = np.searchsorted(distinct >> np.uint64(32), np.arange(len(bound), dtype=np.uint64)).astype(np.int32)
+                place = np.arange(len(bound), dtype=np.uint64)
+                bound = np.searchsorted(distinct >> np.uint64(32), place).astype(np.int32)
                 value = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(p.i, p.j - p.i), pa.ListArray.from_arrays(pa.array(bound), pa.array(value))], names=["id", "runs"])
+                lists = pa.ListArray.from_arrays(pa.array(bound), pa.array(value))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(p.i, p.j - p.i), lists], names=["id", "runs"])
 
     return run
 
@@ -143,9 +148,11 @@ def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     most_apart = int(np.ceil(SIZE * min(1.0, 1 - threshold + 3.7 * spread)))
     printed = lambda x: sketched.select(F.col("id").alias(x), F.col("print").alias(f"print_{x}"))
     near = written(pairs.join(printed("a"), "a").join(printed("b"), "b").mapInArrow(_near(most_apart), "a long, b long"))
-    ids = broadcast_if_small(written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id")
-    runs = written(texts.mapInArrow(_runs(k), "id long, runs array<int>").dropDuplicates(["id"]))
+    ids = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sent = df.sparkSession.sparkContext.broadcast(bloom(ids))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = texts.filter("id is not null and text is not null")
+    runs = written(texts.mapInArrow(_runs(k, sent), "id long, runs array<int>").dropDuplicates(["id"]))
     side = lambda x: runs.select(F.col("id").alias(x), F.col("runs").alias(f"runs_{x}"))
     links = near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike(threshold), "a long, b long, similarity double")
     return members, links

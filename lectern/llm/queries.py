@@ -47,7 +47,7 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     for tab, key in tabs.items():
         one = table(spark, sf_dir, tab).select(F.struct(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), F.sha2("text", 256).alias("was")).alias("rec"), "text")
         rows = one if rows is None else rows.unionAll(one)
-    form = lookalike.one_form(rows, "rec", "text").select("id.*", F.sha2("form", 256).alias("form"))
+    form = lookalike.form_hashes(rows, "rec", "text").select("id.*", "form")
     return form.select("tab", "rec_id", "form", (F.col("form") != F.col("was")).alias("changed"))
 
 
@@ -172,11 +172,54 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p2_found": p2_found, "p2_profile": p2_profile, "p2_cv": p2_cv, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_spans": p7_spans, "p7_clean": p7_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_copies": p4_copies}
+#: White space as Unicode has it.
+_SPACE = r"[\s\x0b\p{Z}\x{85}\x{1c}-\x{1f}]"
+_LONG = rf"len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '')) >= 20"
+
+def _bare(x: str) -> str:
+    """A text without white space, case and punctuation."""
+    return rf"regexp_replace(lower({x}), '[\s\x0b\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}\p{{P}}$+<=>^`|~]', '', 'g')"
+
+
+def _copies(least: str) -> str:
+    """``kept``: the row kept for each row, by equal texts and by equal named fields, sorted, where there are two."""
+    named = r"\s*[;\n]\s*([\p{L}_][\p{L}\p{N}_]{0,30}\s*[:=])"
+    return rf"""
+        WITH t AS (SELECT row_id, text, {_bare("text")} AS k FROM corpus_raw WHERE text IS NOT NULL AND {least}),
+        heads AS (SELECT *, min(row_id) OVER (PARTITION BY k) AS head FROM t),
+        parts AS (SELECT head, CASE WHEN starts_with(ltrim(text), '{{') THEN
+            CASE WHEN json_valid(text) THEN
+              list_transform(json_keys(text), lambda x: x || json_extract_string(text, '$."' || x || '"')) END
+          WHEN regexp_matches(ltrim(text), '^[\p{{L}}\p{{N}}]+ ?[:=]')
+            THEN string_split(regexp_replace(text, '{named}', chr(1) || '\1', 'g'), chr(1)) END AS p FROM heads),
+        keys AS (SELECT head, array_to_string(list_sort(list_transform(p, lambda x: {_bare("x")})), chr(1)) AS f
+          FROM parts WHERE len(p) >= 2),
+        merged AS (SELECT head, min(other) AS merged
+          FROM (SELECT head, min(head) OVER (PARTITION BY f) AS other FROM keys) GROUP BY 1),
+        kept AS (SELECT row_id, coalesce(merged, head) AS keep_id FROM heads LEFT JOIN merged USING (head))
+    """
+
+
 SQL: dict[str, str] = {
+    "p4_found": _copies(_LONG) + "SELECT DISTINCT keep_id, row_id FROM kept WHERE keep_id <> row_id",
+    "p4_copies": _copies("true") + "SELECT keep_id, count(*) AS copies FROM kept GROUP BY 1",
+    "p3_found": rf"""
+        WITH w AS (SELECT row_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM corpus_raw WHERE text IS NOT NULL AND {_LONG}),
+        r AS (SELECT row_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS runs FROM w WHERE len(w) >= 3),
+        u AS (SELECT row_id, len(runs) AS n, unnest(runs) AS run FROM r)
+        SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM u a JOIN u b ON a.run = b.run AND a.row_id < b.row_id
+        GROUP BY a.row_id, b.row_id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))
+    """,
     "p5_found": """
         WITH rows AS (SELECT lower(trim(register)) AS register, label, lower(trim(model)) AS model FROM corpus_raw WHERE text IS NOT NULL),
         size AS (SELECT count(*) // 5 AS n FROM rows),
         have AS (SELECT t.cell_id, count(r.register) AS available FROM sample_targets t LEFT JOIN rows r ON r.register = lower(trim(t.register)) AND r.label = t.label AND r.model = lower(trim(t.model)) GROUP BY 1)
         SELECT cell_id FROM sample_targets JOIN have USING (cell_id), size WHERE available < greatest(min_rows, floor(target_share * n))
     """,
+    # Words stand for tokens: no source is close to its limit.
+    "p8_found": rf"""
+        WITH have AS (SELECT t.source, t.weight, t.max_repeats, coalesce(sum(len(regexp_extract_all(d.text, '[\p{{L}}\p{{N}}]+'))), 0) AS n
+          FROM mix_targets t LEFT JOIN documents d ON d.source = t.source GROUP BY 1, 2, 3)
+        SELECT source FROM have WHERE n * max_repeats < weight * (SELECT sum(n) FROM have)
+    """,
 }
