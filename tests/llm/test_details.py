@@ -16,6 +16,11 @@ def text(seed: int, n: int = 40) -> str:
     return " ".join(r.choice(VOCAB) for _ in range(n))
 
 
+def other(seed: int, n: int) -> str:
+    """Words that no passage has."""
+    return " ".join(w + "q" for w in text(seed, n).split())
+
+
 def test_leaked_spans_and_cleaned_texts(spark):
     passage = text(1, 60)
     words = passage.split()
@@ -23,12 +28,12 @@ def test_leaked_spans_and_cleaned_texts(spark):
     accented = passage.replace("e", "é", 4)
     items = spark.createDataFrame([(7, passage), (8, passage), (9, None), (10, "")], "item_id long, passage string")
     docs = [
-        (1, text(100, 50) + " " + hidden.upper() + ", " + text(101, 50)),
+        (1, other(100, 50) + " " + hidden.upper() + ", " + other(101, 50)),
         (2, accented),
-        (3, text(102, 80)),
+        (3, other(102, 80)),
         (4, None),
         (5, ""),
-        (6, text(103, 5) + " " + " ".join(words[:12])),
+        (6, other(103, 5) + " " + " ".join(words[:12])),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as words", "2 as spans")
     spans = {(r.doc_id, r.item_id): r for r in leak.leaked_spans(df, items).collect()}
@@ -37,7 +42,7 @@ def test_leaked_spans_and_cleaned_texts(spark):
     assert (one.first_word, one.last_word, one.leaked, one.coverage) == (50, 80, 30, 0.5)
     assert docs[0][1][one.first_char : one.last_char] == hidden.upper()
     clean = {r.doc_id: r for r in leak.cleaned(df, items).collect()}
-    assert clean[1].text == text(100, 50) + " , " + text(101, 50) and clean[1].removed_words == 30 and not clean[1].whole
+    assert clean[1].text == other(100, 50) + " , " + other(101, 50) and clean[1].removed_words == 30 and not clean[1].whole
     assert clean[2].whole and clean[2].text is None
     assert clean[3].text == docs[2][1] and clean[4].text is None and clean[5].text == "" and clean[6].removed_words == 0
     assert leak.leaked_spans(df.limit(0), items).count() == 0 and leak.cleaned(df, items.limit(0)).count() == 6
