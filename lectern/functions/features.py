@@ -1,207 +1,63 @@
-"""Style features of documents.
+"""Style features of documents as columns, and word densities by language.
 
-``native`` builds most of them from built-in expressions; ``counted`` adds those that need counts of all
-words or trigrams and the sequential lexical diversity, in one Arrow pass over the tokens. Definitions
-vary by profile: ``serve``, ``train`` and ``adversarial`` differ in tokens, lists and deviations.
-A density is a count by thousand words. Null or too short texts give null features.
+The features come from one Arrow pass (``functions.kernel``). Definitions vary by profile: ``serve``, ``v0``,
+``train`` and ``adversarial`` differ in tokens, lists and deviations. A density is a count by thousand words. Null
+or too short texts give null features.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from math import log2
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import kernel
 from lectern.functions import text as X
 from lectern.functions import wordlists as L
 
-ORIGINAL = ["mtld", "sent_cv", "mean_sent_len", "self_mention_density", "connector_density", "opener_ratio", "hedge_density", "boost_density", "char_entropy", "rep_rate", "punct_entropy"]
-AGNOSTIC = ["mean_sent_len", "sent_cv", "mtld", "char_entropy", "rep_rate", "punct_entropy", "type_token_ratio", "hapax_legomena_ratio", "yules_k", "simpsons_d", "exclamation_density", "question_density", "number_density", "sent_length_std"]
-BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-
-
-def whole_words(choices: list[str]) -> str:
-    """A pattern for any of the choices as whole words, longest first."""
-    return BEFORE + "(?:" + "|".join(sorted(choices, key=lambda w: (-len(w), w))) + ")" + AFTER
+ORIGINAL, EXTENDED, ALL, AGNOSTIC = kernel.ORIGINAL, kernel.EXTENDED, kernel.ALL, kernel.AGNOSTIC
+#: Features that need counts of all words or trigrams, or the words' order.
+COUNTED = ["mtld", "char_entropy", "rep_rate", "hapax_legomena_ratio", "yules_k", "simpsons_d"]
+NATIVE = [f for f in ALL if f not in COUNTED and f not in kernel.UNTAGGED]
 
 
 def count_in(tokens: Column, words: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda w: w.isin(*words)))
 
 
-def entropy(counts: Column) -> Column:
-    """Shannon entropy in bits of an array of counts; 0 for none."""
-    n = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c)
-    h = F.aggregate(counts, F.lit(0.0), lambda a, c: a + F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0))
-    return F.when(n > 0, F.log2(n) - h / n).otherwise(F.lit(0.0))
-
-
-def deviation(values: Column, ddof: int = 1) -> Column:
-    """Deviation of an array of numbers; 0 for fewer than two."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.nullif(n, F.lit(0))
-    square = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    return F.when(n > 1, F.sqrt(square / (n - ddof))).otherwise(F.lit(0.0))
-
-
-def native(df: DataFrame, text_col: str = "text", least_words: int = 5) -> DataFrame:
-    """``df`` with the native features of the serving profile, ``n_words`` and ``n_sents``."""
-    t = F.col(text_col)
-    base = df.withColumns({"_low": F.lower(t), "_w": X.words(t), "_s": X.sentences(t)})
-    base = base.withColumns(
-        {
-            "_n": F.size("_w"),
-            "_len": F.filter(F.transform("_s", X.word_count), lambda n: n > 0),
-            "_spaced": F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")),
-            "_content": F.filter("_w", lambda w: ~w.isin(*L.STOPWORDS) & (F.length(w) > 2)),
-        }
-    )
-    n, words, sents = F.col("_n"), F.col("_w"), F.greatest(F.lit(1), F.size("_s"))
-    total = F.greatest(n / 1000.0, F.lit(0.001))
-    mean = F.aggregate("_len", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("_len"), F.lit(0))
-    all_syllables, many = X.syllable_counts(F.col("_spaced"))
-    base = base.withColumns({"_syl": all_syllables, "_many": many, "_positive": count_in(words, L.POSITIVES), "_negative": count_in(words, L.NEGATIVES)})
-    syllables, complex_ = F.col("_syl"), F.col("_many")
-    density = lambda c: c / total
-    listed = lambda w: density(count_in(words, w))
-    found = lambda p, source=t: density(F.regexp_count(source, F.lit(p)))
-    low = F.col("_low")
-    wps = n / sents
-    spw = syllables / F.greatest(n, F.lit(1))
-    hard = complex_ / F.greatest(n, F.lit(1))
-    positive, negative = F.col("_positive"), F.col("_negative")
-    ends_in = lambda suffixes, least: found(rf"(?<= )(?=[^ ]{{{least},}} )[^ ]*(?:{'|'.join(suffixes)})(?= )", F.col("_spaced"))
-    opener = "^(?:" + "|".join(L.CONNECTORS) + ")[ ,]"
-    features = {
-        "mean_sent_len": F.coalesce(mean, F.lit(0.0)),
-        "sent_cv": F.when((F.size("_len") > 1) & (mean > 0), deviation(F.col("_len")) / mean).otherwise(0.0),
-        "self_mention_density": listed(L.SELF_MENTIONS),
-        "connector_density": found(whole_words(L.CONNECTORS), low),
-        "opener_ratio": F.size(F.filter("_s", lambda s: X.strip(F.lower(s)).rlike(opener))) / sents,
-        "hedge_density": density(count_in(words, L.HEDGES) + F.regexp_count(low, F.lit(whole_words(L.HEDGE_PHRASES)))),
-        "boost_density": listed(L.BOOSTERS),
-        "punct_entropy": entropy(F.array(*[F.length(t) - F.length(F.translate(t, c, "")) for c in L.PUNCTUATION])),
-        "flesch_reading_ease": 206.835 - 1.015 * wps - 84.6 * spw,
-        "flesch_kincaid_grade": 0.39 * wps + 11.8 * spw - 15.59,
-        "gunning_fog": 0.4 * (wps + 100.0 * hard),
-        "smog_index": 1.043 * F.sqrt(complex_ * 30.0 / sents) + 3.1291,
-        "positive_density": density(positive),
-        "negative_density": density(negative),
-        "sentiment_polarity": (positive - negative) / F.greatest(positive + negative, F.lit(1)),
-        "exclamation_density": density(F.length(t) - F.length(F.translate(t, "!", ""))),
-        "question_density": density(F.length(t) - F.length(F.translate(t, "?", ""))),
-        "passive_density": found(rf"(?i){BEFORE}(?:{'|'.join(L.PASSIVE_AUXILIARIES)})\s+(?:[\p{{L}}\p{{N}}_]+ed|{'|'.join(L.PASSIVE_PARTICIPLES)}){AFTER}"),
-        "subordination_density": listed(L.SUBORDINATORS),
-        "preposition_density": listed(L.PREPOSITIONS),
-        "adjective_density": ends_in(L.ADJECTIVE_SUFFIXES, 5),
-        "adverb_density": ends_in(["ly"], 4),
-        "nominalization_density": ends_in(L.NOMINALIZATION_SUFFIXES, 6),
-        "capitalized_entity_density": found(rf"{BEFORE}[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+{AFTER}"),
-        "number_density": found(rf"{BEFORE}[0-9]+(?:\.[0-9]+)?{AFTER}"),
-        "acronym_density": found(rf"{BEFORE}[A-Z]{{2,}}s?{AFTER}"),
-        "url_email_density": found(r"https?://\S+|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"),
-        "quote_density": found(r"\"[^\"]*\"|'[^']*'"),
-        "type_token_ratio": F.coalesce(F.size(F.array_distinct("_content")) / F.nullif(F.size("_content"), F.lit(0)), F.lit(0.0)),
-        "sent_length_std": deviation(F.col("_len")),
-    }
-    enough = n >= least_words
-    out = base.select(*df.columns, n.alias("n_words"), F.size("_s").alias("n_sents"), *(F.when(enough, f).alias(k) for k, f in features.items()))
-    return out
-
-
-def lexical_diversity(words: list[str], threshold: float = 0.72) -> float:
-    """Words by factor: a factor ends where the share of distinct words falls to the threshold; mean of both directions."""
-
-    def one_way(seq: list[str]) -> float:
-        factors, seen, n = 0.0, set(), 0
-        for w in seq:
-            seen.add(w)
-            n += 1
-            if len(seen) / n <= threshold:
-                factors, seen, n = factors + 1, set(), 0
-        if n:
-            factors += (1 - len(seen) / n) / (1 - threshold)
-        return len(seq) / factors if factors > 0 else float(len(seq))
-
-    return (one_way(words) + one_way(words[::-1])) / 2
-
-
-def _bits(counts) -> float:
-    n = sum(counts)
-    return log2(n) - sum(c * log2(c) for c in counts) / n if n else 0.0
-
-
-COUNTED = "mtld double, char_entropy double, rep_rate double, hapax_legomena_ratio double, yules_k double, simpsons_d double"
-
-
-def _counted(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    stop = frozenset(L.STOPWORDS)
-    for words, flat in parts:
-        rows = []
-        for w, t in zip(words, flat):
-            if w is None or len(w) < 5:
-                rows.append((None,) * 6)
-                continue
-            w = list(w)
-            content = [x for x in w if x not in stop and len(x) > 2]
-            c, all_words = Counter(content), Counter(w)
-            n = len(w)
-            grams = Counter(map(t.__getitem__, map(slice, range(len(t) - 2), range(3, len(t) + 1)))) if len(t) > 2 else Counter()
-            counts = np.fromiter(all_words.values(), np.int64)
-            square = int((counts * counts).sum())
-            rows.append(
-                (
-                    lexical_diversity(w) if n >= 10 else 0.0,
-                    _bits(grams.values()),
-                    sum(k for k in c.values() if k > 1) / len(content) if content else 0.0,
-                    int((counts == 1).sum()) / n,
-                    1e4 * (square - n) / (n * n),
-                    1 - square / (n * n) if n > 1 else 0.0,
-                )
-            )
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in COUNTED.split(", ")])
+def native(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with the serving profile's features of sentences, lists and patterns, ``n_words`` and ``n_sents``."""
+    return kernel.with_features(df, text_col, columns=NATIVE)
 
 
 def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the features that need counts: lexical diversity, trigram entropy, repetition, hapax share, Yule's K, Simpson's D."""
-    flat = F.regexp_replace(F.lower(F.col(text_col)), X.SPACE + "+", " ")
-    return df.withColumn("_f", F.pandas_udf(_counted, COUNTED)(X.words(text_col), flat)).select(*df.columns, "_f.*")
+    """``df`` with lexical diversity, trigram entropy, repetition, hapax share, Yule's K and Simpson's D."""
+    return kernel.with_features(df, text_col, columns=COUNTED).drop("n_words", "n_sents")
+
+
+def record(df: DataFrame, text_col: str = "text", lang: str | None = None) -> DataFrame:
+    """``df`` with all 39 features of the text in NFKC, lists by the language found in it unless one is given."""
+    return kernel.with_features(df, text_col, lang=lang, compose=True)
+
+
+def agnostic(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with the features that depend on no language."""
+    return kernel.with_features(df, text_col, columns=AGNOSTIC, lang="unknown", compose=True)
 
 
 def profile_features(df: DataFrame, profile: str, text_col: str = "text") -> DataFrame:
-    """The training and adversarial variants of the sentence and list features.
+    """The eleven original features as the profile ``v0``, ``train`` or ``adversarial`` defines them.
 
-    ``train``: ASCII words, at least 50 of them; opener is a sentence's first connector word.
-    ``adversarial``: words with apostrophes, loose sentences with at least two, population deviation,
-    empty sentences kept, and repetition as the share of distinct words said twice or more.
+    ``v0``: ASCII words, at least 20. ``train``: its own lists, at least 50 words; an opener is followed by space or
+    a comma. ``adversarial``: its own lists, words with apostrophes, loose sentences with at least two, population
+    deviation, sentences without words kept, an opener is a sentence's first word, trigrams as written, and
+    repetition is the share of distinct words said twice or more.
     """
-    t = F.col(text_col)
-    single = [c for c in L.CONNECTORS if " " not in c]
-    train = profile == "train"
-    tokenize = X.ascii_words if train else X.apostrophe_words
-    base = df.withColumns({"_w": tokenize(t), "_s": X.sentences(t) if train else X.loose_sentences(t)})
-    lengths = F.transform("_s", lambda s: F.size(tokenize(s)))
-    base = base.withColumns({"_len": F.filter(lengths, lambda n: n > 0) if train else lengths, "_n": F.size("_w")})
-    enough = (F.col("_n") >= 50) if train else ((F.col("_n") >= 10) & (F.size("_s") >= 2) & (F.length(t) >= 50))
-    mean = F.aggregate("_len", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("_len"), F.lit(0))
-    total = F.greatest(F.col("_n") / 1000.0, F.lit(0.001))
-    first = lambda s: F.get(tokenize(s), 0)
-    features = {
-        "mean_sent_len": mean,
-        "sent_cv": F.when(mean > 0, deviation(F.col("_len"), 1 if train else 0) / mean).otherwise(0.0),
-        "self_mention_density": count_in(F.col("_w"), L.SELF_MENTIONS) / total,
-        "connector_density": count_in(F.col("_w"), single) / total,
-        "hedge_density": count_in(F.col("_w"), L.HEDGES) / total,
-        "boost_density": count_in(F.col("_w"), L.BOOSTERS) / total,
-        "opener_ratio": F.size(F.filter("_s", lambda s: first(s).isin(*single))) / F.greatest(F.size("_s"), F.lit(1)),
-        "punct_entropy": entropy(F.array(*[F.length(t) - F.length(F.translate(t, c, "")) for c in (L.PUNCTUATION + "`" if train else L.PUNCTUATION.translate(str.maketrans("", "", "{}")))])),
-    }
-    return base.select(*df.columns, F.col("_n").alias("n_words"), *(F.when(enough, f).alias(k) for k, f in features.items()))
+    return kernel.with_features(df, text_col, name=profile)
+
+
+def lexical_diversity(words: list[str]) -> float:
+    """Words by factor, mean of both directions."""
+    return kernel.diversity(list(words), "zero", 0)
 
 
 def by_language(df: DataFrame, text_col: str = "text", lang: Column | None = None) -> DataFrame:

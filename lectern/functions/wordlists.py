@@ -44,6 +44,36 @@ bought, caught, taught, sold, told, paid, laid, said, read, written, driven, cho
 stolen, forgotten""")
 PUNCTUATION = ".,;:!?()[]{}\"'-"
 
+# Lists of the training profile that differ from those above.
+TRAIN_HEDGES = _words("""may, might, could, possibly, perhaps, probably, likely, appears, seems, suggests, indicates,
+tentatively, presumably, arguably, approximately, generally, often, sometimes, tend, tends, tended, appear, suggest, indicate,
+assume, assumes, assumed, possible, potential, potentially, conceivably, loosely, roughly, around, about, somewhat, relatively,
+seemingly""")
+TRAIN_CONNECTORS = _words("""however, therefore, thus, hence, consequently, nevertheless, furthermore, moreover, additionally,
+also, besides, likewise, similarly, conversely, alternatively, subsequently, finally, firstly, secondly, thirdly, lastly,
+meanwhile, nonetheless, instead, otherwise, accordingly, specifically, notably, importantly, significantly, overall, ultimately,
+essentially, previously, initially""")
+TRAIN_STOPWORDS = _words("""the, a, an, is, are, was, were, be, been, being, have, has, had, do, does, did, will, would, could,
+should, may, might, shall, can, of, in, to, for, with, on, at, by, from, and, or, but, not, it, its, this, that, these, those,
+as, if, so, than, then, when, where, which, who, what, how, all, more, most, any, each, no, into, up, out, about, through, over,
+after, before, between, under, above, just, also, both, very, too, only, even, back, there, here, well, still, such, other, same,
+them, their, they, he, she, him, his, her, our""")
+
+# Lists of the adversarial profile.
+ADVERSARIAL_HEDGES = _words("""may, might, maybe, perhaps, possibly, probably, likely, appears, seems, suggests, could, would,
+should, about, approximate, approximately, virtually, generally, relatively, somewhat, rather, quite, nearly, almost, apparently,
+presumably, supposedly, allegedly, reportedly""")
+ADVERSARIAL_BOOSTERS = _words("""clearly, obviously, definitely, certainly, evidently, indeed, truly, always, never, absolutely,
+completely, totally, entirely, unquestionably, undeniably, undoubtedly, proves, demonstrates, establishes, confirms, shows,
+reveals""")
+ADVERSARIAL_CONNECTORS = _words("""however, therefore, moreover, furthermore, nevertheless, nonetheless, thus, hence,
+consequently, accordingly, additionally, also, besides, indeed, instead, meanwhile, otherwise, rather, alternatively,
+subsequently, finally, first, second, third, next, then""")
+ADVERSARIAL_SELVES = _words("i, me, my, mine, we, us, our, ours, myself, ourselves")
+ADVERSARIAL_STOPWORDS = _words("""the, a, an, and, or, but, in, on, at, to, for, of, with, by, from, as, is, are, was, were, be,
+been, being, have, has, had, do, does, did, will, would, could, should, may, might, must, can, this, that, these, those, it, its,
+they, them, their, there, here, where, when, why, how, what, which, who, whom, whose""")
+
 # Words by language.
 LANGUAGES = {
     "es": {

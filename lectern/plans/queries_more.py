@@ -40,11 +40,6 @@ def detect_spans(spark, d):
     return detect.detected_spans(documents(spark, d), "doc_id")
 
 
-@query()
-def h4_h5_rewritten(spark, d):
-    return documents(spark, d).select("doc_id", perturb.repunctuated("text").alias("repunctuated"), perturb.in_first_person("text").alias("first_person"))
-
-
 @query()
 def h7_auc_by_strategy(spark, d):
     """AUC of a fixed score of labelled documents as they are and after each rewrite of the AI ones, and all in turn, with the difference."""

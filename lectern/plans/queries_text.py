@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.catalog import documents, query, table
 from lectern.functions import features as FX
+from lectern.functions import kernel
 from lectern.functions import text as X
 from lectern.functions import wordlists as L
 from lectern.functions.unicode import nfc, nfkc
@@ -231,51 +232,214 @@ def _native_sql() -> str:
     SELECT doc_id, n::BIGINT AS n_words, len(s)::BIGINT AS n_sents, {cols} FROM c"""
 
 
-#: Features whose look-around has no counterpart in RE2; they are tested on literal texts.
-UNCHECKED = ["passive_density", "capitalized_entity_density", "number_density", "acronym_density", "url_email_density"]
+def framed_sql(source: str = "text") -> str:
+    """A text in which RE2's ASCII word boundaries are Unicode ones: letters outside ASCII are underscores, spaces blanks."""
+    letters = (
+        r"[\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2c1}\x{370}-\x{373}\x{376}-\x{37d}\x{386}-\x{52f}"
+        r"\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ff10}-\x{ff5a}]"
+    )
+    return f"regexp_replace(regexp_replace({source}, '{letters}', '_', 'g'), '{SP}', ' ', 'g')"
+
+
+PATTERNS = {
+    "passive_density": rf"(?i)\b(?:{'|'.join(L.PASSIVE_AUXILIARIES)})\s+(?:\w+ed|{'|'.join(L.PASSIVE_PARTICIPLES)})\b",
+    "capitalized_entity_density": r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b",
+    "number_density": r"\b\d+(?:\.\d+)?\b",
+    "acronym_density": r"\b[A-Z]{2,}s?\b",
+    "url_email_density": r"https?://\S+|\b[\w.+-]+@[\w-]+\.[\w.-]+\b",
+}
+
+
+def factors_sql(words: str) -> str:
+    """Factors of lexical diversity in one direction: a fold over the words with the factors so far and the words seen."""
+    step = (
+        "lambda a, x: CASE WHEN len(list_distinct(list_append(a.seen, x))) / (a.n + 1) <= 0.72 "
+        "THEN {'k': a.k + 1.0::DOUBLE, 'n': 0::INTEGER, 'seen': []::VARCHAR[]} "
+        "ELSE {'k': a.k, 'n': a.n + 1::INTEGER, 'seen': list_distinct(list_append(a.seen, x))} END"
+    )
+    zero = "{'k': 0.0::DOUBLE, 'n': 0::INTEGER, 'seen': []::VARCHAR[]}"
+    last = "lambda r: r.k + CASE WHEN r.n > 0 THEN (1 - len(r.seen) / r.n) / (1 - 0.72) ELSE 0 END"
+    return f"list_transform([list_reduce({words}, {step}, {zero})], {last})[1]"
+
+
+def diversity_sql(total: bool = False) -> str:
+    """Words by factor: the mean of both directions; or words by the mean of the factors, 0 if there are none."""
+    a, b = factors_sql("w"), factors_sql("list_reverse(w)")
+    if total:
+        return f"list_transform([({a} + {b}) / 2], lambda f: CASE WHEN f > 0 THEN len(w) / f ELSE 0 END)[1]"
+    each = "lambda f: CASE WHEN f > 0 THEN len(w) / f ELSE len(w) END"
+    return f"list_avg(list_transform([{a}, {b}], {each}))"
+
+
+COUNTS_SQL = """tok AS (SELECT doc_id, unnest(content) AS x FROM b), tc AS (SELECT doc_id, x, count(*) AS c FROM tok GROUP BY 1, 2),
+    cs AS (SELECT doc_id, sum(c * c) AS sq, count(*) FILTER (WHERE c = 1) AS hapax, sum(c) FILTER (WHERE c > 1) AS rep,
+      sum(c) AS m, count(*) AS types, count(*) FILTER (WHERE c > 1) AS again FROM tc GROUP BY 1),
+    g AS (SELECT doc_id, substring(t, unnest(range(1, length(t) - 1))::BIGINT, 3) AS x FROM b WHERE length(t) > 2),
+    gc AS (SELECT doc_id, x, count(*) AS c FROM g GROUP BY 1, 2),
+    gs AS (SELECT doc_id, sum(c) AS m, sum(c * log2(c)) AS h FROM gc GROUP BY 1)"""
 
 
 @query(_native_sql())
 def x_native_features(spark, d):
-    return FX.native(documents(spark, d)).drop("text", *UNCHECKED)
+    return FX.native(documents(spark, d)).drop("text", *PATTERNS)
 
 
-@query()
+def _patterns_sql() -> str:
+    cols = [
+        f"CASE WHEN n >= 5 THEN round(({density(f'len(regexp_extract_all(t, {q(p)}))')})::DOUBLE, 6) END AS {k}"
+        for k, p in PATTERNS.items()
+    ]
+    return (
+        f"WITH a AS (SELECT doc_id, text, len({words_sql('text')}) AS n, {framed_sql()} AS t FROM {DOCS}) "
+        f"SELECT doc_id, {', '.join(cols)} FROM a"
+    )
+
+
+@query(_patterns_sql())
 def x_pattern_features(spark, d):
-    return FX.native(documents(spark, d)).select("doc_id", *UNCHECKED)
+    return FX.native(documents(spark, d)).select("doc_id", *PATTERNS)
+
+
+FLAT = f"regexp_replace(lower(text), '{SP}+', ' ', 'g')"
+NOT_STOP = f"NOT list_contains({in_list(L.STOPWORDS)}, x) AND length(x) > 2"
+CONTENT = {
+    "char_entropy": "log2(gs.m) - gs.h / gs.m",
+    "rep_rate": "coalesce(rep, 0) / cs.m",
+    "hapax_legomena_ratio": "hapax / cs.m",
+    "yules_k": "10000.0 * (sq - cs.m) / (cs.m * cs.m)",
+    "simpsons_d": "CASE WHEN cs.m > 1 THEN 1 - sq / (cs.m * cs.m) END",
+}
 
 
 @query(
-    f"""WITH a AS (SELECT doc_id, {words_sql('text')} AS w, regexp_replace(lower(text), '{SP}+', ' ', 'g') AS t FROM {DOCS}),
-    b AS (SELECT *, len(w) AS n, list_filter(w, lambda x: NOT list_contains({in_list(L.STOPWORDS)}, x) AND length(x) > 2) AS content FROM a),
-    tok AS (SELECT doc_id, unnest(w) AS x FROM b), tc AS (SELECT doc_id, x, count(*) AS c FROM tok GROUP BY 1, 2), ts AS (SELECT doc_id, sum(c * c) AS sq, count(*) FILTER (WHERE c = 1) AS hapax FROM tc GROUP BY 1),
-    con AS (SELECT doc_id, unnest(content) AS x FROM b), cc AS (SELECT doc_id, x, count(*) AS c FROM con GROUP BY 1, 2), cs AS (SELECT doc_id, sum(c) FILTER (WHERE c > 1) AS rep, sum(c) AS m FROM cc GROUP BY 1),
-    g AS (SELECT doc_id, substring(t, unnest(range(1, length(t) - 1))::BIGINT, 3) AS x FROM b WHERE length(t) > 2), gc AS (SELECT doc_id, x, count(*) AS c FROM g GROUP BY 1, 2), gs AS (SELECT doc_id, sum(c) AS m, sum(c * log2(c)) AS h FROM gc GROUP BY 1)
-    SELECT b.doc_id, CASE WHEN n >= 5 THEN round(coalesce(log2(gs.m) - gs.h / gs.m, 0), 6)::DOUBLE END AS char_entropy, CASE WHEN n >= 5 THEN round(coalesce(rep / cs.m, 0), 6)::DOUBLE END AS rep_rate,
-      CASE WHEN n >= 5 THEN round(hapax / n, 6)::DOUBLE END AS hapax_legomena_ratio, CASE WHEN n >= 5 THEN round(10000.0 * (sq - n) / (n * n), 6)::DOUBLE END AS yules_k, CASE WHEN n >= 5 THEN round(1 - sq / (n * n), 6)::DOUBLE END AS simpsons_d
-    FROM b LEFT JOIN ts USING (doc_id) LEFT JOIN cs USING (doc_id) LEFT JOIN gs USING (doc_id)"""
+    f"""WITH a AS (SELECT doc_id, {words_sql('text')} AS w, {FLAT} AS t FROM {DOCS}),
+    b AS (SELECT *, len(w) AS n, list_filter(w, lambda x: {NOT_STOP}) AS content FROM a), {COUNTS_SQL}
+    SELECT b.doc_id, """
+    + ", ".join(f"CASE WHEN n >= 5 THEN round(coalesce({v}, 0), 6)::DOUBLE END AS {k}" for k, v in CONTENT.items())
+    + " FROM b LEFT JOIN cs USING (doc_id) LEFT JOIN gs USING (doc_id)"
 )
 def x_counted_features(spark, d):
     return FX.counted(documents(spark, d)).drop("text", "mtld")
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT doc_id, {words_sql('text')} AS w FROM {DOCS}) SELECT doc_id,
+    CASE WHEN len(w) >= 10 THEN round({diversity_sql()}, 6)::DOUBLE WHEN len(w) >= 5 THEN 0.0::DOUBLE END AS mtld FROM a"""
+)
 def x_mtld(spark, d):
     return FX.counted(documents(spark, d)).select("doc_id", "mtld")
 
 
-@query()
+def ascii_words_sql(x: str) -> str:
+    tokens = rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
+    return f"list_filter({tokens}, lambda y: regexp_full_match(y, '[a-z]+'))"
+
+
+def apostrophe_words_sql(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '[a-zA-Z]+(?:''[a-z]+)?'), lambda y: lower(y))"
+
+
+def loose_sentences_sql(x: str) -> str:
+    pieces = rf"regexp_split_to_array({strip_sql(x)}, '[.!?]+(?:{SP}|$)|\n+')"
+    parts = f"list_filter(list_transform({pieces}, lambda p: {strip_sql('p')}), lambda p: p <> '')"
+    return f"CASE WHEN len({parts}) > 0 THEN {parts} ELSE [{x}] END"
+
+
+OWN = {"hedge": L.HEDGES, "booster": L.BOOSTERS, "connector": L.CONNECTORS, "self_mention": L.SELF_MENTIONS}
+LOUD = {
+    "hedge": L.ADVERSARIAL_HEDGES, "booster": L.ADVERSARIAL_BOOSTERS, "connector": L.ADVERSARIAL_CONNECTORS,
+    "self_mention": L.ADVERSARIAL_SELVES,
+}
+
+
+def _profile_sql(
+    tokens, sentences: str, lists: dict[str, list[str]], stop: list[str], content: int, least: str, opener: str,
+    punctuation: str, loud: bool = False, phrases: bool = False,
+) -> str:
+    """``loud``: the adversarial definitions of deviation, sentences, repetition, trigrams and diversity."""
+    punct = "[" + ", ".join(f"({chars_sql(c)})::DOUBLE" for c in punctuation) + "]"
+    spread = "list_sum(list_transform(punct, lambda c: CASE WHEN c > 0 THEN c * log2(c) ELSE 0 END))"
+    f = {
+        "mtld": diversity_sql(loud),
+        "sent_cv": f"CASE WHEN list_avg(lens) > 0 THEN ({deviation_sql('lens', 0 if loud else 1)}) / list_avg(lens) ELSE 0 END",
+        "self_mention_density": density(count_sql(lists["self_mention"])),
+        "opener_ratio": f"len(list_filter(s, lambda x: {opener})) / len(s)",
+        "connector_density": density((phrase_sql if phrases else count_sql)(lists["connector"])),
+        "hedge_density": density(count_sql(lists["hedge"]) + (f" + {phrase_sql(L.HEDGE_PHRASES)}" if phrases else "")),
+        "mean_sent_len": "list_avg(lens)",
+        "boost_density": density(count_sql(lists["booster"])),
+        "char_entropy": "coalesce(log2(gs.m) - gs.h / gs.m, 0)",
+        "rep_rate": "coalesce(again / types, 0)" if loud else "coalesce(coalesce(rep, 0) / cs.m, 0)",
+        "punct_entropy": f"CASE WHEN list_sum(punct) > 0 THEN log2(list_sum(punct)) - {spread} / list_sum(punct) ELSE 0 END",
+    }
+    cols = ", ".join(f"CASE WHEN {least} THEN round(({v})::DOUBLE, 6) END AS {k}" for k, v in f.items())
+    lens = f"list_transform(s, lambda x: len({tokens('x')}))"
+    lens = lens if loud else f"list_filter({lens}, lambda k: k > 0)"
+    kept = f"list_filter(w, lambda x: NOT list_contains({in_list(stop)}, x) AND length(x) >= {content})"
+    return f"""WITH a AS (SELECT doc_id, text, {tokens('text')} AS w, {sentences} AS s, {'text' if loud else FLAT} AS t FROM {DOCS}),
+    b AS (SELECT *, len(w) AS n, {lens} AS lens, {punct} AS punct, {kept} AS content FROM a), {COUNTS_SQL}
+    SELECT b.doc_id, n::BIGINT AS n_words, len(s)::BIGINT AS n_sents, {cols}
+    FROM b LEFT JOIN cs USING (doc_id) LEFT JOIN gs USING (doc_id)"""
+
+
+def _opens(connectors: list[str], after: str) -> str:
+    return f"regexp_matches({strip_sql('lower(x)')}, '^(?:{'|'.join(connectors)}){after}')"
+
+
+@query(
+    _profile_sql(
+        ascii_words_sql, sentences_sql("text"), OWN | {"hedge": L.TRAIN_HEDGES, "connector": L.TRAIN_CONNECTORS},
+        L.TRAIN_STOPWORDS, 3, "n >= 50 AND length(text) >= 30", _opens(L.TRAIN_CONNECTORS, r"[\s,]"), L.PUNCTUATION + "`",
+    )
+)
 def x_train_profile(spark, d):
     return FX.profile_features(documents(spark, d), "train").drop("text")
 
 
-@query()
+@query(
+    _profile_sql(
+        ascii_words_sql, sentences_sql("text"), OWN, L.STOPWORDS, 3, "n >= 20", _opens(L.CONNECTORS, "[ ,]"),
+        L.PUNCTUATION, phrases=True,
+    )
+)
+def x_v0_profile(spark, d):
+    return FX.profile_features(documents(spark, d), "v0").drop("text")
+
+
+@query(
+    _profile_sql(
+        apostrophe_words_sql, loose_sentences_sql("text"), LOUD, L.ADVERSARIAL_STOPWORDS, 0,
+        f"n >= 10 AND len(s) >= 2 AND length({strip_sql('text')}) >= 50",
+        f"list_contains({in_list(L.ADVERSARIAL_CONNECTORS)}, ({apostrophe_words_sql('x')})[1])",
+        L.PUNCTUATION.replace("{", "").replace("}", ""), loud=True,
+    )
+)
 def x_adversarial_profile(spark, d):
     return FX.profile_features(documents(spark, d), "adversarial").drop("text")
 
 
+@query()
+def x_record(spark, d):
+    """All 39 features of each text in NFKC, by the language found in it."""
+    return FX.record(documents(spark, d)).drop("text")
+
+
+@query()
+def x_agnostic(spark, d):
+    """The features that need no language."""
+    return FX.agnostic(documents(spark, d)).drop("text")
+
+
+@query()
+def x_vector(spark, d):
+    """The features in a model's order as an array; names that are no feature give 0."""
+    names = [*FX.ALL, "no_such_feature"]
+    v = kernel.vector(documents(spark, d), names, lang=None, compose=True)
+    return v.select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).cast("string").alias("vector"))
+
+
 def style(spark, d, *columns):
-    return FX.native(documents(spark, d, *columns)).drop("text")
+    return kernel.with_features(documents(spark, d, *columns), columns=STYLE).drop("text")
 
 
 STYLE = ["mean_sent_len", "sent_cv", "self_mention_density", "connector_density", "opener_ratio", "hedge_density", "boost_density", "punct_entropy", "type_token_ratio", "preposition_density"]
@@ -297,8 +461,7 @@ def effect_sizes(spark, d):
 
 def original(spark, d, *columns):
     """The eleven features that the norms are of."""
-    docs = documents(spark, d, *columns)
-    return FX.counted(FX.native(docs)).select("doc_id", *columns, *FX.ORIGINAL)
+    return kernel.with_features(documents(spark, d, *columns), columns=FX.ORIGINAL).drop("text", "n_words", "n_sents")
 
 
 @query()
@@ -487,16 +650,41 @@ def w6_spans(spark, d):
 
 
 # ---- perturbation, watermark ---------------------------------------------------------------------------------------
-@query()
-def h1_without_connectors(spark, d):
-    return documents(spark, d).select("doc_id", perturb.without_connectors("text").alias("text"))
+def gate_sql(key: str, rate: float) -> str:
+    return f"('0x' || substr(md5({key}), 1, 4))::INTEGER < {int(65536 * rate)}"
+
+
+def stop_sentences_sql(x: str) -> str:
+    return rf"string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+def capital_sql(x: str) -> str:
+    return f"upper(left({x}, 1)) || substr({x}, 2)"
+
+
+OPENING = "(?i)^(?:" + "|".join(sorted(L.CONNECTORS, key=len, reverse=True)) + ")[ ,]+"
 
 
 @query(
-    "WITH a AS (SELECT doc_id, " + space_words_sql("text") + " AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, coalesce(list_aggregate(list_transform(w, lambda t: CASE regexp_replace(lower(t), '^[.,;:!?]+|[.,;:!?]+$', '', 'g') "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.SYNONYMS.items())
-    + " ELSE t END), 'string_agg', ' '), '') AS text FROM a"
+    f"""WITH s AS (SELECT doc_id, {stop_sentences_sql('text')} AS s FROM {DOCS}),
+    c AS (SELECT doc_id, list_transform(s, lambda x: {{'x': x, 'c': regexp_replace(x, '{OPENING}', '')}}) AS s FROM s)
+    SELECT doc_id, array_to_string(list_transform(s, lambda p:
+      CASE WHEN p.x = p.c THEN p.x ELSE {capital_sql(strip_sql('p.c'))} END), ' ') AS text FROM c"""
 )
+def h1_without_connectors(spark, d):
+    return documents(spark, d).select("doc_id", perturb.without_connectors("text").alias("text"))
+
+
+def _synonyms_sql(rate: float) -> str:
+    new = "CASE regexp_replace(lower(t), '^[.,;:!?]+|[.,;:!?]+$', '', 'g') "
+    new += " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.SYNONYMS.items()) + " END"
+    cased = rf"CASE WHEN regexp_matches(left(t, 1), '\p{{Lu}}') THEN {capital_sql(new)} ELSE {new} END"
+    gate = gate_sql("t || '-' || (i - 1)", rate)
+    swap = f"list_transform(w, lambda t, i: coalesce(CASE WHEN {gate} THEN {cased} END, t))"
+    return f"WITH a AS (SELECT doc_id, {space_words_sql('text')} AS w FROM {DOCS}) SELECT doc_id, array_to_string({swap}, ' ') AS text FROM a"
+
+
+@query(_synonyms_sql(perturb.SWAP_RATE))
 def h2_synonyms(spark, d):
     return documents(spark, d).select("doc_id", perturb.swapped("text").alias("text"))
 
@@ -506,6 +694,32 @@ def h3_varied_lengths(spark, d):
     return documents(spark, d).select("doc_id", perturb.varied("text").alias("text"))
 
 
+def _repunctuated_sql() -> str:
+    gates = [gate_sql(f"'{k}-' || text", r) for k, r in (("c", perturb.SEMICOLON_RATE), ("e", perturb.EXCLAMATION_RATE), ("q", perturb.QUESTION_RATE))]
+    return f"""WITH c AS (SELECT doc_id, text, CASE WHEN {gates[0]} THEN replace(text, ', ', '; ') ELSE text END AS a FROM {DOCS}),
+    e AS (SELECT doc_id, text, CASE WHEN {gates[1]} THEN replace(a, '. ', '! ') ELSE a END AS a FROM c)
+    SELECT doc_id, CASE WHEN {gates[2]} AND contains(a, '. ')
+      THEN left(a, instr(a, '. ') - 1) || '? ' || substr(a, instr(a, '. ') + 2) ELSE a END AS text FROM e"""
+
+
+@query(_repunctuated_sql())
+def h4_repunctuated(spark, d):
+    return documents(spark, d).select("doc_id", perturb.repunctuated("text").alias("text"))
+
+
+def _first_person_sql() -> str:
+    gate = gate_sql("p.x || '-' || p.i", perturb.PRONOUN_RATE)
+    return f"""WITH s AS (SELECT doc_id, {stop_sentences_sql('text')} AS s FROM {DOCS}),
+    c AS (SELECT doc_id, list_transform(s, lambda x, i: {{'x': x, 'i': i - 1, 'w': {space_words_sql('x')}}}) AS s FROM s)
+    SELECT doc_id, array_to_string(list_transform(s, lambda p: CASE WHEN len(p.w) > 3 AND {gate}
+      THEN array_to_string(list_concat(list_append(p.w[1:3], 'I'), p.w[4:]), ' ') ELSE p.x END), ' ') AS text FROM c"""
+
+
+@query(_first_person_sql())
+def h5_in_first_person(spark, d):
+    return documents(spark, d).select("doc_id", perturb.in_first_person("text").alias("text"))
+
+
 @query()
 def h6_humanized(spark, d):
     return documents(spark, d).select("doc_id", perturb.humanized("text").alias("text"))

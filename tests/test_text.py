@@ -74,7 +74,7 @@ def test_features(spark):
     assert got[1].capitalized_entity_density > got[2].capitalized_entity_density == 0
     assert got[1].passive_density == 0 and got[3].mean_sent_len is None and got[4].mean_sent_len is None and got[5].mean_sent_len is None
     counts = {r.i: r for r in FX.counted(df).collect()}
-    assert counts[3].mtld is None and counts[1].simpsons_d == pytest.approx(0.9)
+    assert counts[3].mtld is None and counts[1].simpsons_d == pytest.approx(0.8)  # five content words, each once
 
 
 def test_lexical_diversity():
@@ -86,9 +86,17 @@ def test_lexical_diversity():
 def test_perturbations(spark):
     t = "However, it is important. Therefore we utilize many things."
     assert one(spark, perturb.without_connectors("t"), t) == ["It is important. We utilize many things."]
-    assert one(spark, perturb.swapped("t"), "However, it is important here") == ["but it is key here"]
-    assert one(spark, perturb.in_first_person("t"), "a b c d. e") == ["a b c I d. e I"]
-    assert perturb.vary(None) is None and perturb.vary(" ".join(["word"] * 30)).count(".") == 1
+    # By the definition: a capital stays one, short sentences stay as they are, halves and pairs are joined as named.
+    assert one(spark, perturb.swapped("t", 1.0), "However, it is important here") == ["But it is key here"]
+    assert one(spark, perturb.in_first_person("t", 1.0), "a b c d. e") == ["a b c I d. e"]
+    assert one(spark, perturb.repunctuated("t", 1.0, 0.0, 0.0), "A, b. C, d. E") == ["A; b. C; d. E"]
+    assert one(spark, perturb.repunctuated("t", 0.0, 1.0, 0.0), "A, b. C. D") == ["A, b! C! D"]
+    assert one(spark, perturb.repunctuated("t", 0.0, 0.0, 1.0), "A, b. C. D") == ["A, b? C. D"]
+    assert perturb.vary(None) is None
+    long = " ".join(f"w{i}" for i in range(12)) + ", " + " ".join(f"v{i}" for i in range(14))
+    assert perturb.vary(long, 1.0, 1.0) == " ".join(f"w{i}" for i in range(12)) + ", v0. V" + " ".join(f"v{i}" for i in range(2, 14))
+    assert perturb.vary("One two. Three FOUR! Five six.", 1.0, 1.0) == "One two, and three four! Five six."
+    assert perturb.vary("One two. Three four.", 0.0, 0.0) == "One two. Three four."
     with pytest.raises(ValueError):
         perturb.humanized("t", "none")
     assert one(spark, perturb.humanized("t"), t, None)[1] is None
