@@ -53,7 +53,8 @@ def before_year(df: DataFrame, date: Column, year: int = 2022) -> DataFrame:
 
 
 def first_of_each(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key. The smallest row is taken by a hash aggregate with map-side combine, not a window, so a hot key needs no sort."""
+    """The first row of each key: the smallest row, by an aggregate with map-side combine, not a window, so what is
+    sent of a hot key is one row a task."""
     rest = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c) for c in df.columns])
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
     return df.groupBy(*named).agg(F.min(rest).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in df.columns])
@@ -68,7 +69,9 @@ def without_known(df: DataFrame, known: DataFrame, key: Column, known_key: Colum
 def quota(df: DataFrame, group: str, id_col: str, existing: DataFrame, target: int, seed: str = "42") -> DataFrame:
     """Of each group as many rows as are missing to the target, by hash order. ``existing``: (group, n)."""
     need = existing.select(F.col(group), F.greatest(F.lit(0), F.lit(target) - F.col("n")).alias("_need"))
-    ranked = df.withColumn("_rank", F.row_number().over(W.Window.partitionBy(group).orderBy(hash_order(F.col(id_col), seed), F.col(id_col))))
+    order = W.Window.partitionBy(group).orderBy(hash_order(F.col(id_col), seed), F.col(id_col))
+    # No group needs more than the target: each task keeps so many rows of it before the shuffle.
+    ranked = df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= target)
     return ranked.join(F.broadcast(need), group).filter("_rank <= _need").drop("_rank", "_need")
 
 

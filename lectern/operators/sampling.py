@@ -1,7 +1,8 @@
 """Deterministic samples: by hash order within groups, matched by length, folds and splits.
 
-A window over a group is preceded by a cap on each partition's own candidates where only the first rows
-count, so hot groups are thinned before the shuffle.
+Where at most a fixed number of rows of a group counts, Spark's group limit keeps no more than that many of a group
+in each task before the shuffle. Where every row's rank counts, ranks come from range-partitioned running sums, so a
+group of any size is spread over tasks.
 """
 
 from __future__ import annotations
@@ -10,47 +11,86 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from lectern.operators import running
 from lectern.operators.corpus import hash_order
 
 
-def ranked(df: DataFrame, groups: list[str], id_col: str, seed: str = "42") -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(W.Window.partitionBy(*groups).orderBy(hash_order(F.col(id_col), seed), F.col(id_col))))
+def ranked(df: DataFrame, groups: list[str], id_col: str, seed: str = "42", size: str | None = None) -> DataFrame:
+    """Every row's rank (``_rank``) in its group by hash order."""
+    return running.ranked(df, groups, [hash_order(F.col(id_col), seed), F.col(id_col)], size=size)
 
 
-def capped(df: DataFrame, groups: list[str], id_col: str, most: int, seed: str = "42") -> DataFrame:
-    """At most ``most`` rows of each group. Spark's group limit keeps only that many of a group per task before the shuffle."""
-    return ranked(df, groups, id_col, seed).filter(F.col("_rank") <= most).drop("_rank")
+def first_ranks(df: DataFrame, groups: list[str], id_col: str, most: int, seed: str = "42") -> DataFrame:
+    """The first ``most`` rows of each group by hash order, with their ranks."""
+    order = W.Window.partitionBy(*groups).orderBy(hash_order(F.col(id_col), seed), F.col(id_col))
+    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)
 
 
-def equal_sizes(df: DataFrame, group: str, label: str, id_col: str, most: int, seed: str = "42") -> DataFrame:
-    """Of each group as many rows of either label as the rarer one has, at most ``most``."""
-    counts = df.groupBy(group).agg(F.least(F.count(F.when(F.col(label) == 0, 1)), F.count(F.when(F.col(label) == 1, 1)), F.lit(most)).alias("_n"))
-    return ranked(df, [group, label], id_col, seed).join(F.broadcast(counts), group).filter("_rank <= _n").drop("_rank", "_n")
+def capped(df: DataFrame, groups: list[str], id_col: str, most: int, seed: str = "42") -> DataFrame:
+    """At most ``most`` rows of each group."""
+    return first_ranks(df, groups, id_col, most, seed).drop("_rank")
+
+
+def _rarer(label: str) -> Column:
+    return F.least(*(F.count(F.when(F.col(label) == k, 1)) for k in (0, 1)))
+
+
+def equal_sizes(
+    df: DataFrame, group: str, label: str, id_col: str, most: int, seed: str = "42", replace: bool = False
+) -> DataFrame:
+    """Of each group as many rows of either label as the rarer one has, at most ``most``.
+
+    ``replace``: as many as the commoner one has, at most ``most``; rows of the rarer one are repeated in turn.
+    """
+    labelled = df.filter(F.col(label).isin(0, 1))
+    first = first_ranks(labelled, [group, label], id_col, most, seed)
+    size = F.least(_rarer(label), F.lit(most))
+    if not replace:
+        counts = labelled.groupBy(group).agg(size.alias("_n"))
+        return first.join(F.broadcast(counts), group).filter("_rank <= _n").drop("_rank", "_n")
+    both = F.greatest(*(F.count(F.when(F.col(label) == k, 1)) for k in (0, 1)))
+    counts = labelled.groupBy(group).agg(
+        F.when(_rarer(label) > 0, F.least(both, F.lit(most))).otherwise(0).alias("_n"), *(
+            F.count(F.when(F.col(label) == k, 1)).alias(f"_n{k}") for k in (0, 1)
+        )
+    )
+    own = F.when(F.col(label) == 0, F.col("_n0")).otherwise(F.col("_n1"))
+    joined = first.join(F.broadcast(counts), group).filter("_rank <= _n")
+    # Row r of m stands for places r, r + m, r + 2 m, ... up to the size.
+    times = F.floor((F.col("_n") - F.col("_rank")) / F.least(own, F.lit(most))) + 1
+    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    return repeated.select(*df.columns, F.col("_copy").alias("copy"))
 
 
 def bin_edges(df: DataFrame, group: str, value: str, bins: int = 20) -> DataFrame:
     """Exact quantile edges of a value by group."""
-    return df.groupBy(group).agg(F.percentile(value, [i / bins for i in range(bins + 1)]).alias("edges"))
+    found = running.quantiles(df, [group], value, [i / bins for i in range(bins + 1)])
+    return found.select(group, F.col("values").alias("edges"))
 
 
-def length_matched(df: DataFrame, group: str, label: str, value: str, id_col: str, bins: int = 20, least: int = 5, seed: str = "42") -> DataFrame:
-    """Rows matched on a value: in each quantile bin of a group as many of either label, bins with fewer than ``least`` of one left out. Equal edges are one; the first bin starts at 0, the last is open."""
+def length_matched(
+    df: DataFrame, group: str, label: str, value: str, id_col: str, bins: int = 20, least: int = 5, seed: str = "42"
+) -> DataFrame:
+    """Rows matched on a value: in each quantile bin of a group as many of either label, bins with fewer than ``least``
+    of one left out. Equal edges are one; the first bin starts at 0, the last is open."""
     edges = bin_edges(df, group, value, bins).select(group, F.array_sort(F.array_distinct("edges")).alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    placed = df.join(F.broadcast(edges), group).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(value)))).drop("edges")
-    counts = placed.groupBy(group, "bin").agg(F.least(F.count(F.when(F.col(label) == 0, 1)), F.count(F.when(F.col(label) == 1, 1))).alias("_n")).filter(F.col("_n") >= least)
-    return ranked(placed, [group, "bin", label], id_col, seed).join(F.broadcast(counts), [group, "bin"]).filter("_rank <= _n").drop("_rank", "_n")
+    placed = df.join(F.broadcast(edges), group)
+    placed = placed.withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(value)))).drop("edges")
+    counts = placed.groupBy(group, "bin").agg(_rarer(label).alias("_n")).filter(F.col("_n") >= least)
+    joined = ranked(placed, [group, "bin", label], id_col, seed).join(F.broadcast(counts), [group, "bin"])
+    return joined.filter("_rank <= _n").drop("_rank", "_n")
 
 
 def folds(df: DataFrame, strata: list[str], id_col: str, k: int = 5, seed: str = "42") -> DataFrame:
     """Stratified folds 0 to k - 1, sizes within a stratum differing by one at most."""
-    return ranked(df, strata, id_col, seed).withColumn("fold", (F.col("_rank") - 1) % k).drop("_rank")
+    return ranked(df, strata, id_col, seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
 def split(df: DataFrame, strata: list[str], id_col: str, share: float, seed: str = "42") -> DataFrame:
     """A column ``is_test``: the first share of each stratum by hash order."""
-    n = F.count(F.lit(1)).over(W.Window.partitionBy(*strata))
-    return ranked(df, strata, id_col, seed).withColumn("is_test", F.col("_rank") <= F.floor(n * F.lit(share))).drop("_rank")
+    placed = ranked(df, strata, id_col, seed, size="_size")
+    return placed.withColumn("is_test", F.col("_rank") <= F.floor(F.col("_size") * F.lit(share))).drop("_rank", "_size")
 
 
 def perturbed(column: Column, id_: Column, low: float, high: float, seed: str = "42") -> Column:

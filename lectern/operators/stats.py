@@ -1,19 +1,26 @@
 """Statistics of labelled scores and features.
 
 Rank-based figures work on distinct scores: rows are first counted by (group, score), which combines map
-side, and windows run over those counts. Null scores or labels take part in nothing. Figures without both
+side, and running sums over those counts are range-partitioned (``operators.running``), so no group is sorted in
+one task. Null scores or labels take part in nothing. Figures without both
 labels, or with a zero divisor, are null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import erfc, sqrt
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from lectern.operators.running import group_key, running_sums
+from lectern.plans.stage import written
+
 
 def div(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
@@ -28,14 +35,54 @@ def with_all(df: DataFrame, group: str) -> DataFrame:
     return df.withColumn(group, F.explode(F.when(F.col(group).isNull(), F.array(F.lit("all"))).otherwise(F.array(F.col(group), F.lit("all")))))
 
 
+def _effects(g: DataFrame, group: str) -> DataFrame:
+    """Effect sizes from (group, feature) with n, mean and var of either label."""
+    squares = (F.col("n_human") - 1) * F.col("var_human") + (F.col("n_ai") - 1) * F.col("var_ai")
+    pooled = F.sqrt(squares / F.nullif(F.col("n_human") + F.col("n_ai") - 2, F.lit(0)))
+    d = F.when((F.col("n_human") < 2) | (F.col("n_ai") < 2), None).when(pooled == 0, 0.0)
+    d = d.otherwise(div(F.col("mean_ai") - F.col("mean_human"), pooled))
+    return g.select(
+        group, "feature", "n_human", "n_ai", F.col("mean_human").alias("human_mean"),
+        F.sqrt("var_human").alias("human_sd"), F.col("mean_ai").alias("ai_mean"), F.sqrt("var_ai").alias("ai_sd"),
+        d.alias("cohens_d"),
+    )
+
+
 def effect_sizes(long: DataFrame, group: str = "register", label: str = "label") -> DataFrame:
-    """Of each group and feature, and over all: counts, means, sample deviations by label and Cohen's d with pooled deviation (0 if that is 0, null with fewer than two of a label)."""
+    """Of each group and feature, and over all: counts, means, sample deviations by label and Cohen's d with pooled
+    deviation (0 if that is 0, null with fewer than two of a label). ``long`` has a row for each feature's value."""
     on = lambda k: F.when(F.col(label) == k, F.col("value"))
-    moments = [f(on(k)).alias(f"{n}_{who}") for k, who in ((0, "human"), (1, "ai")) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))]
-    g = with_all(long, group).groupBy(group, "feature").agg(*moments)
-    pooled = F.sqrt(((F.col("n_human") - 1) * F.col("var_human") + (F.col("n_ai") - 1) * F.col("var_ai")) / F.nullif(F.col("n_human") + F.col("n_ai") - 2, F.lit(0)))
-    d = F.when((F.col("n_human") < 2) | (F.col("n_ai") < 2), None).when(pooled == 0, 0.0).otherwise(div(F.col("mean_ai") - F.col("mean_human"), pooled))
-    return g.select(group, "feature", "n_human", "n_ai", F.col("mean_human").alias("human_mean"), F.sqrt("var_human").alias("human_sd"), F.col("mean_ai").alias("ai_mean"), F.sqrt("var_ai").alias("ai_sd"), d.alias("cohens_d"))
+    kinds = ((0, "human"), (1, "ai"))
+    figures = (("n", F.count), ("mean", F.avg), ("var", F.var_samp))
+    moments = [f(on(k)).alias(f"{n}_{who}") for k, who in kinds for n, f in figures]
+    return _effects(with_all(long, group).groupBy(group, "feature").agg(*moments), group)
+
+
+def effect_sizes_wide(df: DataFrame, group: str, features: list[str], label: str = "label") -> DataFrame:
+    """The same from one column for each feature: rows are neither unpivoted nor repeated for the whole. Moments are
+    taken by group and label in one pass, and those of all rows are put together from them."""
+    figures = (("n", F.count), ("mean", F.avg), ("var", F.var_samp))
+    columns = [f(F.col(c)).alias(f"{n}_{i}") for i, c in enumerate(features) for n, f in figures]
+    wide = df.filter(F.col(label).isin(0, 1)).groupBy(group, F.col(label).alias("_y")).agg(*columns)
+    each = F.array(
+        *(
+            F.struct(F.lit(c).alias("feature"), *(F.col(f"{n}_{i}").alias(n) for n, _ in figures))
+            for i, c in enumerate(features)
+        )
+    )
+    part = wide.select(group, "_y", F.explode(each).alias("m")).select(group, "_y", "m.*").filter("n > 0")
+    n, mean = F.col("n"), F.col("mean")
+    total = F.sum("n")
+    centre = F.sum(n * mean) / total
+    spread = F.sum(F.when(n > 1, (n - 1) * F.col("var")).otherwise(0.0)) + F.sum(n * mean * mean) - total * centre * centre
+    merged = part.groupBy("feature", "_y").agg(
+        total.alias("n"), centre.alias("mean"), F.when(total > 1, F.greatest(spread, F.lit(0.0)) / (total - 1)).alias("var")
+    )
+    both = part.filter(F.col(group).isNotNull()).unionByName(merged.withColumn(group, F.lit("all")).select(*part.columns))
+    on = lambda c, k: F.max(F.when(F.col("_y") == k, F.col(c)))
+    kinds = ((0, "human"), (1, "ai"))
+    g = both.groupBy(group, "feature").agg(*(on(c, k).alias(f"{c}_{who}") for k, who in kinds for c, _ in figures))
+    return _effects(g.fillna(0, ["n_human", "n_ai"]), group)
 
 
 def score_counts(df: DataFrame, groups: list[str], score: str, label: str) -> DataFrame:
@@ -45,10 +92,13 @@ def score_counts(df: DataFrame, groups: list[str], score: str, label: str) -> Da
 
 def auc(df: DataFrame, groups: list[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties by half, with the Mann-Whitney U of the positives and its variance with tie correction."""
-    c = score_counts(df, groups, score, label)
-    below = F.coalesce(F.sum("neg").over(W.Window.partitionBy(*groups).orderBy("score").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    t = F.col("pos") + F.col("neg")
-    g = c.withColumn("_u", F.col("pos") * (below + F.col("neg") / 2.0)).withColumn("_t", (t * t * t - t).cast("double")).groupBy(*groups).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("_u").alias("u"), F.sum("_t").alias("_tie"))
+    c = running_sums(score_counts(df, groups, score, label), groups, [F.col("score")], ["neg"])
+    below = F.col("neg_upto") - F.col("neg")
+    t = (F.col("pos") + F.col("neg")).cast("double")
+    placed = c.withColumn("_u", F.col("pos") * (below + F.col("neg") / 2.0)).withColumn("_t", t * t * t - t)
+    g = placed.groupBy(*groups).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("_u").alias("u"), F.sum("_t").alias("_tie")
+    )
     n = F.col("n_pos") + F.col("n_neg")
     both = F.col("n_pos").cast("double") * F.col("n_neg")
     var = both / 12.0 * ((n + 1) - div(F.col("_tie"), n * (n - 1)))
@@ -75,9 +125,12 @@ def mann_whitney(df: DataFrame, groups: list[str], score: str, label: str) -> Da
 def roc(df: DataFrame, groups: list[str], score: str, label: str) -> DataFrame:
     """Points of the curve at each distinct score from the top: counts at or above it."""
     c = score_counts(df, groups, score, label)
-    down = W.Window.partitionBy(*groups).orderBy(F.col("score").desc()).rowsBetween(W.Window.unboundedPreceding, 0)
-    whole = W.Window.partitionBy(*groups)
-    return c.select(*groups, "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("n_pos"), F.sum("neg").over(whole).alias("n_neg"))
+    c = running_sums(c, groups, [F.col("score").desc()], ["pos", "neg"], totals=True)
+    whole = lambda x: F.col(x).cast("long")
+    return c.select(
+        *groups, "score", whole("pos_upto").alias("tp"), whole("neg_upto").alias("fp"),
+        whole("pos_all").alias("n_pos"), whole("neg_all").alias("n_neg"),
+    )
 
 
 def tpr_at_fpr(df: DataFrame, groups: list[str], score: str, label: str, targets: tuple[float, ...] = (0.0001, 0.001, 0.01, 0.05, 0.1)) -> DataFrame:
@@ -144,22 +197,26 @@ def probability_losses(df: DataFrame, groups: list[str], probability: str, label
 def conformal_quantile(df: DataFrame, groups: list[str], probability: str, label: str, alpha: float = 0.1) -> DataFrame:
     """Quantile of the absolute error at min(1, (1 - alpha)(1 + 1 / n)), linearly interpolated, and the share of rows within it."""
     e = df.filter(F.col(probability).isNotNull() & F.col(label).isin(0, 1)).select(*groups, F.abs(F.col(label) - F.col(probability)).alias("_e"))
-    n = e.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.lit(1.0), (1 - alpha) * (1 + 1 / F.col("n")))
-    at = (F.col("n") - 1) * level
-    order = W.Window.partitionBy(*groups).orderBy("_e").rowsBetween(W.Window.unboundedPreceding, 0)
-    c = e.groupBy(*groups, "_e").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(order)).join(F.broadcast(n), groups)
-    found = c.groupBy(*groups, "n").agg(F.min(F.when(F.col("_upto") > F.floor(at), F.col("_e"))).alias("_lo"), F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_e"))).alias("_hi"))
-    q = found.select(*groups, "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at))).alias("quantile"))
-    within = c.join(F.broadcast(q.select(*groups, "quantile")), groups).groupBy(*groups).agg(F.sum(F.when(F.col("_e") <= F.col("quantile"), F.col("_c")).otherwise(0)).alias("_in"))
-    return q.join(within, groups).select(*groups, "n", "quantile", (F.col("_in") / F.col("n")).alias("coverage"))
+    counts = e.groupBy(*groups, "_e").agg(F.count(F.lit(1)).alias("_c"))
+    c = written(running_sums(counts, groups, [F.col("_e")], ["_c"], totals=True))
+    n = F.col("_c_all")
+    at = (n - 1) * F.least(F.lit(1.0), (1 - alpha) * (1 + 1 / n))
+    low = F.min(F.when(F.col("_c_upto") > F.floor(at), F.col("_e"))).alias("_lo")
+    high = F.min(F.when(F.col("_c_upto") > F.ceil(at), F.col("_e"))).alias("_hi")
+    found = c.groupBy(*groups, "_c_all").agg(low, high)
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at))
+    q = found.select(group_key(groups).alias("_k"), *groups, n.cast("long").alias("n"), value.alias("quantile"))
+    inside = c.withColumn("_k", group_key(groups)).join(q.select("_k", "quantile"), "_k").filter(F.col("_e") <= F.col("quantile"))
+    within = inside.groupBy("_k").agg(F.max("_c_upto").alias("_in"))
+    return q.join(within, "_k").select(*groups, "n", "quantile", (F.col("_in") / F.col("n")).alias("coverage"))
 
 
 def off_diagonal(cells: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """Of a square of cells: mean off the diagonal by row, by column and over all, the diagonal's mean and the difference."""
-    off = F.avg(F.when(F.col(a) != F.col(b), F.col(value)))
-    on = F.avg(F.when(F.col(a) == F.col(b), F.col(value)))
-    g = cells.groupingSets([[F.col(a)], [F.col(b)], []], F.col(a), F.col(b))
+    c = cells.withColumns({"_a": F.col(a), "_b": F.col(b)})
+    off = F.avg(F.when(F.col("_a") != F.col("_b"), F.col(value)))
+    on = F.avg(F.when(F.col("_a") == F.col("_b"), F.col(value)))
+    g = c.groupingSets([[F.col(a)], [F.col(b)], []], F.col(a), F.col(b))
     return g.agg(off.alias("off_diagonal"), on.alias("diagonal"), (on - off).alias("cost"))
 
 
@@ -183,10 +240,51 @@ def paired_t(folds: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
     return folds.groupBy(*groups).agg(F.count(d).alias("folds"), F.avg(d).alias("delta"), (F.avg(d) / F.nullif(F.stddev_samp(d) / F.sqrt(F.count(d)), F.lit(0))).alias("t"))
 
 
-def bootstrap_mean(df: DataFrame, groups: list[str], value: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean by Poisson weights. The draws are summed per partition, so rows are never replicated through a shuffle."""
-    drawn = df.filter(F.col(value).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.rand(seed)
-    weight = F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).when(u < 0.9963401531726563, 4).otherwise(5)
-    means = drawn.withColumn("_w", weight).groupBy(*groups, "_b").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
-    return means.groupBy(*groups).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
+#: Modulus of the draws below, and the borders of a Poisson variable of mean 1.
+DRAWS = 2147483647
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
+
+
+def _resampled(groups: list[str], rounds: int, seed: int):
+    """Weighted sums of each batch by group and resample; the weight is a Poisson variable that depends on the id, the
+    resample and the seed only, through two squarings modulo a prime."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b_no = np.arange(rounds, dtype=np.int64)
+        for b in batches:
+            key = b.column("_key").dictionary_encode()
+            code = key.indices.to_numpy(zero_copy_only=False)
+            ids, value = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_v"))
+            size = len(key.dictionary)
+            weights, sums = np.zeros((size, rounds)), np.zeros((size, rounds))
+            for a in range(0, b.num_rows, 2048):
+                x = (ids[a : a + 2048, None] % DRAWS * 48271 + b_no * 40692 + seed) % DRAWS
+                for _ in range(2):
+                    x = (x * x + 12345) % DRAWS
+                w = np.searchsorted(np.array(POISSON), x / DRAWS, "right").astype(float)
+                np.add.at(weights, code[a : a + 2048], w)
+                np.add.at(sums, code[a : a + 2048], w * value[a : a + 2048, None])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    key.dictionary.take(pa.array(np.repeat(np.arange(size), rounds))),
+                    pa.array(np.tile(b_no, size).astype(np.int32)),
+                    pa.array(weights.ravel()),
+                    pa.array(sums.ravel()),
+                ],
+                names=["_key", "_b", "_w", "_s"],
+            )
+
+    return run
+
+
+def bootstrap_mean(df: DataFrame, groups: list[str], value: str, id_col: str, rounds: int = 200, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean by Poisson resampling, with the number of rows. Each batch sums its rows for all
+    resamples at once; no row is repeated, and the draws do not depend on partitions. Ids are whole numbers from 0."""
+    rows = df.select(*groups, group_key(groups).alias("_key"), F.col(id_col).cast("long").alias("_id"), F.col(value).cast("double").alias("_v"))
+    rows = rows.filter("_id is not null and _v is not null")
+    each = rows.select("_key", "_id", "_v").mapInArrow(_resampled(groups, rounds, seed), "_key string, _b int, _w double, _s double")
+    means = each.groupBy("_key", "_b").agg((F.sum("_s") / F.nullif(F.sum("_w"), F.lit(0.0))).alias("_m"))
+    # As many values a group as there are resamples.
+    ends = means.groupBy("_key").agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
+    names = rows.groupBy(*groups, "_key").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
+    return names.join(ends, "_key").select(*groups, "n", "mean", "low", "high")

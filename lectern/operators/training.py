@@ -10,7 +10,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import sampling, stats
+from lectern.operators import running, sampling, stats
+from lectern.plans.stage import written
 
 
 def classifier(kind: str, features: list[str], label: str = "label", weight: str | None = None, **settings) -> Pipeline:
@@ -37,7 +38,7 @@ def probabilities(model: PipelineModel, df: DataFrame, name: str = "p") -> DataF
 
 def cross_validated(df: DataFrame, kind: str, features: list[str], id_col: str, label: str = "label", k: int = 5, **settings) -> DataFrame:
     """Held-out probabilities of every row by stratified folds: (columns, fold, p)."""
-    folded = sampling.folds(df.dropna(subset=[*features, label]), [label], id_col, k).persist()
+    folded = written(sampling.folds(df.dropna(subset=[*features, label]), [label], id_col, k))
     out = None
     for f in range(k):
         model = classifier(kind, features, label, **settings).fit(folded.filter(F.col("fold") != f))
@@ -56,19 +57,21 @@ def fold_metrics(scored: DataFrame, groups: list[str], label: str = "label") ->
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], id_col: str, label: str = "label", repeats: int = 3) -> DataFrame:
     """Loss of AUC where a feature's values are exchanged among rows by a hash order; mean and population deviation over repeats."""
-    from pyspark.sql import window as W
-
     spark = df.sparkSession
     base = stats.auc(probabilities(model, df), [], "p", label).first()["auc"]
     rows = []
-    numbered = df.withColumn("_i", F.row_number().over(W.Window.orderBy(id_col))).persist()
-    for f in features:
-        for r in range(repeats):
-            other = numbered.select(F.row_number().over(W.Window.orderBy(F.xxhash64(F.col(id_col), F.lit(r)), id_col)).alias("_i"), F.col(f).alias("_v"))
-            mixed = numbered.drop(f).join(other, "_i").withColumnRenamed("_v", f)
-            rows.append((f, base - stats.auc(probabilities(model, mixed.select(*df.columns)), [], "p", label).first()["auc"]))
-    numbered.unpersist()
-    return spark.createDataFrame(rows, "feature string, drop double").groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_sd"))
+    numbered = running.ranked(df, [], [F.col(id_col)], name="_i")
+    for r in range(repeats):
+        # One order of the rows a repeat; each feature takes its values from there.
+        order = [F.xxhash64(F.col(id_col), F.lit(r)), F.col(id_col)]
+        mixed = running.ranked(df.select(id_col, *features), [], order, name="_i")
+        mixed = mixed.select("_i", *(F.col(f).alias(f"_v{i}") for i, f in enumerate(features)))
+        both = written(numbered.join(mixed, "_i"))
+        for i, f in enumerate(features):
+            swapped = both.withColumn(f, F.col(f"_v{i}")).select(*df.columns)
+            rows.append((f, base - stats.auc(probabilities(model, swapped), [], "p", label).first()["auc"]))
+    drops = spark.createDataFrame(rows, "feature string, drop double").groupBy("feature")
+    return drops.agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_sd"))
 
 
 def ablation(df: DataFrame, ranked_features: list[str], sizes: tuple[int, ...], id_col: str, label: str = "label", k: int = 3) -> DataFrame:
@@ -113,7 +116,7 @@ def text_classifier(label: str = "label", words: str = "words", size: int = 10_0
 
 def text_cross_validated(df: DataFrame, id_col: str, label: str = "label", words: str = "words", k: int = 5, size: int = 10_000) -> DataFrame:
     """Held-out predictions of the text classifier for every row by stratified folds, vocabulary and weights from the other folds: (columns, fold, prediction)."""
-    folded = sampling.folds(df, [label], id_col, k).persist()
+    folded = written(sampling.folds(df, [label], id_col, k))
     out = None
     for f in range(k):
         model = text_classifier(label, words, size).fit(folded.filter(F.col("fold") != f))

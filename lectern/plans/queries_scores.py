@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.catalog import SCORES, query, scores, table
-from lectern.operators import scoring, stats
+from lectern.operators import running, scoring, stats
 
 #: Distinct scores of each register with counts, and running counts from the top.
 CURVE = f"""{SCORES}, c AS (SELECT register, stylometric_score AS score, sum(label) AS pos, sum(1 - label) AS neg FROM s WHERE stylometric_score IS NOT NULL GROUP BY 1, 2),
@@ -92,7 +92,10 @@ def a31_conformal(spark, d):
 @query(f"WITH {SCORES} SELECT register, label::BIGINT AS label, count(stylometric_score)::BIGINT AS n, round(avg(stylometric_score), 6)::DOUBLE AS mean, round(median(stylometric_score), 6)::DOUBLE AS median, round(min(stylometric_score), 6)::DOUBLE AS least, round(max(stylometric_score), 6)::DOUBLE AS most FROM s GROUP BY ALL")
 def a4_described(spark, d):
     c = "stylometric_score"
-    return scores(spark, d).groupBy("register", "label").agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.min(c).alias("least"), F.max(c).alias("most"))
+    s = scores(spark, d)
+    median = running.quantiles(s, ["register", "label"], c, [0.5]).select("register", "label", F.get("values", 0).alias("median"))
+    figures = F.count(c).alias("n"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most")
+    return s.groupBy("register", "label").agg(*figures).join(median, ["register", "label"], "left")
 
 
 @query(f"WITH {SCORES}, m AS (SELECT register, avg(binoculars_score) AS m, stddev_samp(binoculars_score) AS d FROM s GROUP BY 1) SELECT row_id, round((binoculars_score - m) / nullif(d, 0), 6)::DOUBLE AS z FROM s JOIN m USING (register)")
@@ -115,18 +118,17 @@ CELLS = f"""{SCORES}, both_ AS (SELECT a.register AS train, b.register AS test,
 def threshold_cells(spark, d):
     """Accuracy on each register of a threshold at each register's median score. The left side has one row a register."""
     s = scores(spark, d)
-    mids = s.groupBy(F.col("register").alias("train")).agg(F.percentile("stylometric_score", 0.5).alias("mid"))
-    rows = s.filter("stylometric_score is not null").withColumnRenamed("register", "test").join(F.broadcast(mids))
+    mids = running.quantiles(s, ["register"], "stylometric_score", [0.5])
+    mids = mids.select(F.col("register").alias("train"), F.get("values", 0).alias("mid"))
+    # One row a register on the left: every score is tried against each.
+    rows = s.filter("stylometric_score is not null").withColumnRenamed("register", "test").crossJoin(F.broadcast(mids))
     right = (F.col("stylometric_score") - F.col("mid") >= 0) == (F.col("label") == 1)
     return rows.groupBy("train", "test").agg(F.avg(right.cast("double")).alias("accuracy"))
 
 
 @query(f"WITH {CELLS} SELECT train, test, round(avg(CASE WHEN train <> test THEN accuracy END), 6)::DOUBLE AS off_diagonal, round(avg(CASE WHEN train = test THEN accuracy END), 6)::DOUBLE AS diagonal FROM (SELECT train AS t1, test AS t2, * FROM cells) GROUP BY GROUPING SETS ((train), (test), ())")
 def a24_off_diagonal(spark, d):
-    c = threshold_cells(spark, d).withColumns({"a": F.col("train"), "b": F.col("test")})
-    off = F.avg(F.when(F.col("a") != F.col("b"), F.col("accuracy")))
-    on = F.avg(F.when(F.col("a") == F.col("b"), F.col("accuracy")))
-    return c.groupingSets([[F.col("train")], [F.col("test")], []], F.col("train"), F.col("test")).agg(off.alias("off_diagonal"), on.alias("diagonal"))
+    return stats.off_diagonal(threshold_cells(spark, d), "train", "test", "accuracy").drop("cost")
 
 
 @query("SELECT feature, round(max(cohens_d) FILTER (WHERE register = 'academic'), 6)::DOUBLE AS academic, round(max(cohens_d) FILTER (WHERE register = 'news'), 6)::DOUBLE AS news, round(max(cohens_d) FILTER (WHERE register = 'social'), 6)::DOUBLE AS social, round(max(cohens_d) FILTER (WHERE register = 'creative'), 6)::DOUBLE AS creative, round(avg(abs(cohens_d)), 6)::DOUBLE AS mean_abs FROM effect_sizes GROUP BY 1")
@@ -186,9 +188,38 @@ def m11_attributed(spark, d):
     return scores(spark, d).filter("stylometric_score is not null").select("row_id", scoring.attributed(p, {"human": 1 - p, "machine": p, "other": F.lit(0.5)}).alias("source"))
 
 
-@query()
+def _bootstrap_sql(rounds: int = 200, seed: int = 42) -> str:
+    m = stats.DRAWS
+    weight = " ".join(f"WHEN u < {border!r} THEN {k}" for k, border in enumerate(stats.POISSON))
+    return f"""WITH {SCORES}, d AS (SELECT register, label, stylometric_score AS v, row_id, unnest(range({rounds})) AS b FROM s WHERE stylometric_score IS NOT NULL),
+    x0 AS (SELECT register, label, v, b, (row_id % {m} * 48271 + b * 40692 + {seed}) % {m} AS x FROM d),
+    x1 AS (SELECT * REPLACE ((x * x + 12345) % {m} AS x) FROM x0), x2 AS (SELECT * REPLACE ((x * x + 12345) % {m} AS x) FROM x1),
+    w AS (SELECT *, CASE {weight} ELSE {len(stats.POISSON)} END AS w FROM (SELECT *, x / {m} AS u FROM x2)),
+    means AS (SELECT register, label, b, sum(w * v) / nullif(sum(w), 0) AS mean FROM w GROUP BY ALL),
+    ends AS (SELECT register, label, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM means GROUP BY ALL)
+    SELECT register, label::BIGINT AS label, count(*)::BIGINT AS n, round(avg(stylometric_score), 6)::DOUBLE AS mean,
+      round(any_value(low), 6)::DOUBLE AS low, round(any_value(high), 6)::DOUBLE AS high
+    FROM s JOIN ends USING (register, label) WHERE stylometric_score IS NOT NULL GROUP BY ALL"""
+
+
+@query(_bootstrap_sql())
 def a8_bootstrap(spark, d):
-    return stats.bootstrap_mean(scores(spark, d), ["register", "label"], "stylometric_score", 50).select("register", "label", (F.col("low") <= F.col("high")).alias("ordered"))
+    """Mean score and its bootstrap interval over 200 resamples."""
+    return stats.bootstrap_mean(scores(spark, d), ["register", "label"], "stylometric_score", "row_id")
+
+
+TIES = f"""{CURVE}, u AS (SELECT register, n_pos, n_neg, sum(pos * (below + neg / 2.0)) AS u, sum(((pos + neg)::DOUBLE) ** 3 - (pos + neg)) AS ties FROM r GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {TIES}, v AS (SELECT *, n_pos + n_neg AS n, n_pos::DOUBLE * n_neg AS both_ FROM u),
+    z AS (SELECT *, sqrt(both_ / 12 * ((n + 1) - ties / nullif(n * (n - 1), 0))) AS sd FROM v)
+    SELECT register, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg, round(u, 6)::DOUBLE AS u,
+      round(greatest(abs(u - both_ / 2) - 0.5, 0) / nullif(sd, 0), 6)::DOUBLE AS z FROM z"""
+)
+def a7_rank_sums(spark, d):
+    """Mann-Whitney U and z with tie and continuity correction; the p-value is in a7_mann_whitney."""
+    return stats.mann_whitney(scores(spark, d), ["register"], "stylometric_score", "label").drop("p_value")
 
 
 @query(f"WITH {SCORES}, m AS (SELECT avg(stylometric_score) + 2 * stddev_samp(stylometric_score) AS high FROM s WHERE label = 0) SELECT row_id FROM s, m WHERE stylometric_score > high")
@@ -209,11 +240,10 @@ def j8_group_against_all_humans(spark, d):
     human = s.filter("label = 0").groupBy(F.col("stylometric_score").alias("score")).agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit(0))
     ai = s.filter("label = 1").groupBy("register", F.col("stylometric_score").alias("score")).agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit(1))
     names = F.broadcast(ai.select("register").distinct())
-    c = ai.unionByName(human.join(names).select("register", "score", "n", "label")).groupBy("register", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"))
-    from pyspark.sql import window as W
-
-    below = F.coalesce(F.sum("neg").over(W.Window.partitionBy("register").orderBy("score").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    g = c.withColumn("u", F.col("pos") * (below + F.col("neg") / 2.0)).groupBy("register").agg(F.sum("pos").alias("n_ai"), F.sum("neg").alias("n_human"), F.sum("u").alias("u"))
+    c = ai.unionByName(human.crossJoin(names).select("register", "score", "n", "label")).groupBy("register", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"))
+    c = running.running_sums(c, ["register"], [F.col("score")], ["neg"])
+    u = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0)
+    g = c.groupBy("register").agg(F.sum("pos").alias("n_ai"), F.sum("neg").alias("n_human"), F.sum(u).alias("u"))
     return g.select("register", "n_ai", (F.col("u") / (F.col("n_ai") * F.col("n_human"))).alias("auc"))
 
 

@@ -455,7 +455,7 @@ EFFECTS_SQL = f"""WITH f AS ({_native_sql()}), l AS (SELECT doc_id, coalesce(nul
 def effect_sizes(spark, d):
     """Effect sizes of style features by language and over all: the flagship query."""
     f = style(spark, d, "lang", "label").filter("label in (0, 1)").withColumn("language", F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("unknown")))
-    e = stats.effect_sizes(stats.long_form(f, ["language", "label"], STYLE), "language")
+    e = stats.effect_sizes_wide(f, "language", STYLE)
     return e.select("language", "feature", "n_human", "n_ai", *[F.round(c, 4).alias(c) for c in ("human_mean", "ai_mean", "cohens_d")])
 
 
@@ -468,7 +468,7 @@ def original(spark, d, *columns):
 def effect_sizes_original(spark, d):
     """Effect sizes of the eleven original features by language and over all; those that need counts have no SQL."""
     f = original(spark, d, "lang", "label").filter("label in (0, 1)").withColumn("language", F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("unknown")))
-    return stats.effect_sizes(stats.long_form(f, ["language", "label"], FX.ORIGINAL), "language")
+    return stats.effect_sizes_wide(f, "language", FX.ORIGINAL)
 
 
 @query()
