@@ -63,4 +63,4 @@ SCORES = """
 """
 
 
-from lectern.plans import queries_more, queries_scores, queries_state, queries_text  # noqa: E402, F401
+from lectern.plans import queries_more, queries_rest, queries_scores, queries_state, queries_text  # noqa: E402, F401

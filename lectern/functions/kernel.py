@@ -247,18 +247,18 @@ def diversity(numbers: list[int], how: str, least: int = 10) -> float | None:
     return ((n / a if a else n) + (n / b if b else n)) / 2
 
 
-def _sums(values: np.ndarray, bound: np.ndarray) -> np.ndarray:
+def sums(values: np.ndarray, bound: np.ndarray) -> np.ndarray:
     c = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
     return c[bound[1:]] - c[bound[:-1]]
 
 
-def _entropy(total: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+def entropy(total: np.ndarray, weighted: np.ndarray) -> np.ndarray:
     """log2(N) - sum(c log2 c) / N; 0 for none."""
     n = np.maximum(total, 1)
     return np.where(total > 0, np.log2(n) - weighted / n, 0.0)
 
 
-def _groups(owner: np.ndarray, value: np.ndarray, texts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def counts_of(owner: np.ndarray, value: np.ndarray, texts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each text's distinct values: how often each occurs, and where the text's counts start (one entry more)."""
     key = np.sort((owner.astype(np.uint64) << np.uint64(bits)) | value.astype(np.uint64))
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -350,28 +350,28 @@ def measure(texts: list[str | None], name: str = "serve", lang: str | None = "en
     n = np.diff(bound).astype(float)
     owner = np.repeat(np.arange(size), np.diff(bound))
     own = flags[number] if len(number) else np.zeros(0, np.int64)
-    has = lambda flag: _sums(own & flag > 0, bound)
+    has = lambda flag: sums(own & flag > 0, bound)
     listed = {}
     place = np.array([lex.languages.index(x) for x in langs] or [0])
     for k, kind in enumerate(KINDS):
         bit = (10 + 4 * place + k)[owner] if len(owner) else np.zeros(0, np.int64)
-        listed[kind] = _sums((own >> bit) & 1, bound)
+        listed[kind] = sums((own >> bit) & 1, bound)
     # Sentence lengths; those without a word are left out where the profile says so.
     used = np.ones(len(counted), bool) if p.keep_wordless else counted > 0
     place_of = np.concatenate([[0], np.cumsum(used)])[sent_first]
     lens = counted[used]
     sents, k = np.diff(sent_first).astype(float), np.diff(place_of).astype(float)
-    mean = _sums(lens, place_of) / np.maximum(k, 1)
-    square = _sums((lens - np.repeat(mean, np.diff(place_of))) ** 2, place_of)
+    mean = sums(lens, place_of) / np.maximum(k, 1)
+    square = sums((lens - np.repeat(mean, np.diff(place_of))) ** 2, place_of)
     deviation = np.where(k >= (2 if p.ddof else 1), np.sqrt(square / np.maximum(k - p.ddof, 1)), 0.0)
     per = np.maximum(n / 1000.0, 0.001)
     # Distinct words.
     is_content = own & CONTENT > 0
-    times, at = _groups(owner[is_content], number[is_content], size, 32)
-    m, types = _sums(times, at), np.diff(at).astype(float)
-    again, once, squares = _sums(np.where(times > 1, times, 0), at), _sums(times == 1, at), _sums(times * times, at)
+    times, at = counts_of(owner[is_content], number[is_content], size, 32)
+    m, types = sums(times, at), np.diff(at).astype(float)
+    again, once, squares = sums(np.where(times > 1, times, 0), at), sums(times == 1, at), sums(times * times, at)
     if p.types_repeated:
-        again, whole = _sums(times > 1, at), types
+        again, whole = sums(times > 1, at), types
     else:
         whole = m
     # Trigrams.
@@ -383,13 +383,13 @@ def measure(texts: list[str | None], name: str = "serve", lang: str | None = "en
     mixed = (mixed + code[begin + 2]) * np.uint64(0xC2B2AE3D27D4EB4F) if len(begin) else np.zeros(0, np.uint64)
     mixed ^= mixed >> np.uint64(29)
     mixed = (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)
-    gram_times, gram_at = _groups(np.repeat(np.arange(size), grams), mixed, size, 44)
+    gram_times, gram_at = counts_of(np.repeat(np.arange(size), grams), mixed, size, 44)
     points = bullets.sum(1)
     marks = {c: bullets[:, p.punctuation.index(c)] for c in "!?"}
     words = number.tolist()
     mtld = [diversity(words[a:b], p.mtld) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
     full = np.maximum(sents, 1)
-    wps, spw, hard = n / full, _sums(syllable[number], bound) / np.maximum(n, 1), has(COMPLEX)
+    wps, spw, hard = n / full, sums(syllable[number], bound) / np.maximum(n, 1), has(COMPLEX)
     good, bad = has(POSITIVE), has(NEGATIVE)
     enough = (n >= p.least_words) & (sents >= p.least_sentences) & (seen[:, 9] >= p.least_chars) & (k > 0)
     enough &= np.array([bool(t) for t in texts])
@@ -402,9 +402,9 @@ def measure(texts: list[str | None], name: str = "serve", lang: str | None = "en
         "hedge_density": (listed["hedge"] + seen[:, 1]) / per,
         "mean_sent_len": mean,
         "boost_density": listed["booster"] / per,
-        "char_entropy": _entropy(grams, _sums(gram_times * np.log2(gram_times), gram_at)),
+        "char_entropy": entropy(grams, sums(gram_times * np.log2(gram_times), gram_at)),
         "rep_rate": np.where(whole > 0, again / np.maximum(whole, 1), 0.0),
-        "punct_entropy": _entropy(points, (bullets * np.log2(np.maximum(bullets, 1))).sum(1)),
+        "punct_entropy": entropy(points, (bullets * np.log2(np.maximum(bullets, 1))).sum(1)),
         "flesch_reading_ease": 206.835 - 1.015 * wps - 84.6 * spw,
         "flesch_kincaid_grade": 0.39 * wps + 11.8 * spw - 15.59,
         "gunning_fog": 0.4 * (wps + 100.0 * (hard / np.maximum(n, 1))),

@@ -97,3 +97,39 @@ def perturbed(column: Column, id_: Column, low: float, high: float, seed: str =
     """A value times a factor between ``low`` and ``high`` that depends on the id only."""
     unit = F.conv(F.substring(F.md5(F.concat(id_.cast("string"), F.lit(f"*{seed}"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     return column * (low + (high - low) * unit)
+
+
+def sample(df: DataFrame, id_col: str, n: int, seed: str = "42") -> DataFrame:
+    """The first n rows by hash order; each task keeps at most n."""
+    return df.orderBy(hash_order(F.col(id_col), seed), F.col(id_col)).limit(n)
+
+
+# Means and deviations of noun_verb_ratio, adj_adv_ratio, pos_transition_entropy, sent_length_std.
+PROFILES = {
+    "reasoning": ((1.00, 0.15), (2.50, 0.35), (5.23, 0.08), (2.19, 0.30)),
+    "model": ((0.76, 0.12), (1.33, 0.25), (5.49, 0.06), (3.15, 0.35)),
+    "human": ((0.64, 0.10), (0.71, 0.18), (5.60, 0.05), (3.25, 0.40)),
+}
+PROFILE_FEATURES = ("noun_verb_ratio", "adj_adv_ratio", "pos_transition_entropy", "sent_length_std")
+
+
+def synthetic_profiles(spark, n: int = 1000, seed: int = 42) -> DataFrame:
+    """n rows of each profile with normally distributed features; ``label`` is 1 for reasoning models."""
+    out = None
+    for k, (name, moments) in enumerate(PROFILES.items()):
+        rows = spark.range(n, numPartitions=4).select(
+            F.lit(name).alias("profile"), F.lit(int(name == "reasoning")).alias("label"),
+            *(
+                (F.randn(seed + 10 * k + i) * sd + mean).alias(f)
+                for i, (f, (mean, sd)) in enumerate(zip(PROFILE_FEATURES, moments))
+            ),
+        )
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def synthetic_calibration(spark, n: int = 2000, seed: int = 42) -> DataFrame:
+    """n probabilities from Beta(2, 2), which is the middle one of three uniform draws, and labels with noise around 0.5."""
+    draws = F.array_sort(F.array(*(F.rand(seed + i) for i in range(3))))
+    rows = spark.range(n, numPartitions=4).select(F.get(draws, 1).alias("p"), F.randn(seed + 3).alias("_e"))
+    return rows.select("p", (F.col("p") + 0.15 * F.col("_e") > 0.5).cast("int").alias("label"))

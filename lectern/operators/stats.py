@@ -148,6 +148,20 @@ def exact_fpr_threshold(df: DataFrame, group: str, score: str, label: str, rate:
     return cut.join(hits, group, "left").select(group, "threshold", F.lit(rate).alias("target_fpr"), div(F.coalesce("_tp", F.lit(0)), F.col("n_pos")).alias("tpr"), F.col("n_neg").alias("n_human"), F.col("n_pos").alias("n_ai"))
 
 
+def detection_rates(
+    df: DataFrame, attack: str, score: str, label: str, clean: str = "none", recall: float = 0.9
+) -> DataFrame:
+    """(attack, n, threshold, detection_rate): the share of machine texts of each attack at or above the threshold whose
+    recall on clean texts is nearest to the wanted one (0.5 where there are no clean machine texts)."""
+    on_clean = precision_at_recall(df.filter(F.col(attack) == clean), [], score, label, (recall,))
+    found = on_clean.select("score").first()
+    threshold = float(found[0]) if found else 0.5
+    rows = df.filter((F.col(label) == 1) & F.col(score).isNotNull())
+    hit = (F.col(score) >= threshold).cast("double")
+    rates = rows.groupBy(attack).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("detection_rate"))
+    return rates.select(attack, "n", F.lit(threshold).alias("threshold"), "detection_rate")
+
+
 def confusion(df: DataFrame, groups: list[str], score: str, label: str, threshold: float = 0.5) -> DataFrame:
     """Counts and rates of a threshold: accuracy, precision, recall, F1 (0 for a zero divisor), error rates and the accuracy of always naming the commoner label."""
     hit = F.col(score) >= threshold

@@ -25,6 +25,19 @@ def centred_windows(sentences: DataFrame, id_col: str, least_words: int = 15) ->
     return joined.withColumn("window", F.when(F.size(X.space_words("window")) >= least_words, F.col("window")))
 
 
+def shifted_windows(sentences: DataFrame, id_col: str, size: int = 3) -> DataFrame:
+    """Each sentence with the text of its window of ``size`` sentences, moved inward at the edges."""
+    rows = W.Window.partitionBy(id_col).orderBy("idx")
+    n = F.count(F.lit(1)).over(W.Window.partitionBy(id_col))
+    near = F.collect_list("sentence").over(rows.rowsBetween(1 - size, size - 1))
+    start = F.greatest(F.lit(0), F.least(F.col("idx") - 1, n - size))
+    # The first of the sentences gathered is max(0, idx + 1 - size).
+    first = start - F.greatest(F.lit(0), F.col("idx") + 1 - size)
+    placed = sentences.withColumns({"_near": near, "_first": first})
+    joined = F.array_join(F.slice("_near", F.col("_first").cast("int") + 1, size), " ")
+    return placed.withColumn("window", joined).drop("_near", "_first")
+
+
 def shifted_window_means(scores: DataFrame, id_col: str, score: str, size: int = 3) -> DataFrame:
     """Windows of ``size`` sentences that are moved inward at the edges; each window's score counts for all its members, whose means are returned. ``scores`` holds the window score of each idx."""
     n = F.count(F.lit(1)).over(W.Window.partitionBy(id_col))

@@ -15,6 +15,7 @@ from lectern.functions import features as FX
 from lectern.functions import text as X
 from lectern.functions.unicode import nfc
 from lectern.operators import scoring, windows
+from lectern.plans.stage import written
 
 WEIGHTS = {"mean_sent_len": 0.03, "sent_cv": -1.2, "self_mention_density": -0.02, "connector_density": 0.05, "hedge_density": -0.02, "punct_entropy": -0.4}
 BIAS = 0.6
@@ -35,6 +36,20 @@ def detected(df: DataFrame, id_col: str, text_col: str = "text", register_col: s
     return out.select("id", "register", "probability", (F.col("probability") >= scoring.threshold_of(F.col("sensitivity"))).alias("is_ai"), scoring.verdict(F.col("probability")).alias("verdict"), i["lower"].alias("lower"), i["upper"].alias("upper"), i["uncertain"].alias("uncertain"), "error")
 
 
+def analysed_sentences(df: DataFrame, id_col: str, text_col: str = "text", scorer: Callable[[DataFrame], DataFrame] = default_scorer) -> DataFrame:
+    """(id, idx, sentence, score): the mean score of the three-sentence windows a sentence is in, each moved inward at the
+    edges; a window too short for features takes the score of its middle sentence alone, or else 0.5."""
+    sentences = windows.sentence_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    texts = windows.shifted_windows(sentences, "id")
+    enough = F.col("n_words") >= 5
+    scored = scorer(FX.native(texts, "window")).withColumn("_window", F.when(enough, F.col("p")))
+    scored = scored.select("id", "idx", "sentence", "_window")
+    alone = scorer(FX.native(scored, "sentence")).withColumn("_alone", F.when(enough, F.col("p")))
+    chain = alone.select("id", "idx", F.coalesce("_window", "_alone", F.lit(0.5)).alias("score"))
+    means = windows.shifted_window_means(written(chain), "id", "score")
+    return sentences.join(means, ["id", "idx"]).select("id", "idx", "sentence", F.col("mean_score").alias("score"))
+
+
 def detected_spans(df: DataFrame, id_col: str, text_col: str = "text", scorer: Callable[[DataFrame], DataFrame] = default_scorer) -> DataFrame:
     """(id, idx, sentence, score, is_ai, uncertain): each sentence scored by the window around it; windows that are too short take the line between their neighbours. Documents of fewer than 30 words give no rows."""
     clean = df.select(F.col(id_col).alias("id"), X.defensive(text_col, nfc(text_col)).alias("text")).filter(F.size(X.space_words("text")) >= 30)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +55,17 @@ def csv_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.csv(path, header=True, schema=schema, mode="DROPMALFORMED")
 
 
-def csv_sample(spark: SparkSession, glob: str, schema: StructType | str, per_file: int = 2000) -> DataFrame:
-    """At most ``per_file`` rows of each CSV file, by a hash order."""
+def csv_sample(spark: SparkSession, glob: str, schema: StructType | str, per_file: int = 2000, files: int = 5) -> DataFrame:
+    """At most ``per_file`` rows, by a hash order, of each of the first ``files`` CSV files by name."""
     from pyspark.sql import window as W
 
-    df = spark.read.csv(glob, header=True, schema=schema)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(glob)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    paths = sorted(f.getPath().toString() for f in found or [])[:files]
+    if not paths:
+        raise FileNotFoundError(glob)
+    df = spark.read.csv(paths, header=True, schema=schema)
     named = df.withColumn("file", F.col("_metadata.file_path")).withColumn("_h", F.xxhash64(*df.columns))
     return named.withColumn("_r", F.row_number().over(W.Window.partitionBy("file").orderBy("_h"))).filter(F.col("_r") <= per_file).drop("_r", "_h")
 
@@ -83,6 +91,69 @@ def verified(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.select("name", F.when(F.col("_found").isNull(), "missing").when(F.col("_found") == F.col("sha256"), "ok").otherwise("changed").alias("state"))
 
 
+def reassembled(parts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, length, sha256, state) of files that were cut into parts.
+
+    ``parts`` (path, content) are binary files whose names end in a number, ``manifest`` (name, length, sha256) says what
+    they should give together: ok, changed, short (wrong length) or missing. A file's parts meet in one task, as its
+    bytes must: files are bounded by what an array of bytes can hold.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    cut = parts.select(
+        F.regexp_extract(name, r"^(.*?)[._-]?(?:part)?[._-]?[0-9]+$", 1).alias("name"),
+        F.regexp_extract(name, r"([0-9]+)$", 1).cast("long").alias("_no"), "content",
+    )
+    ordered = cut.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_no", "content"))).alias("_all"))
+    empty = F.to_binary(F.lit(""), F.lit("utf-8"))
+    whole = F.aggregate("_all", empty, lambda a, p: F.concat(a, p["content"]))
+    found = ordered.withColumn("_whole", whole)
+    found = found.select("name", F.octet_length("_whole").alias("_length"), F.sha2("_whole", 256).alias("_sha"))
+    joined = manifest.join(found, "name", "left")
+    state = F.when(F.col("_sha").isNull(), "missing").when(F.col("_length") != F.col("length"), "short")
+    state = state.when(F.col("_sha") == F.lower("sha256"), "ok").otherwise("changed")
+    return joined.select("name", F.col("_length").alias("length"), F.col("_sha").alias("sha256"), state.alias("state"))
+
+
+def hub_table(spark: SparkSession, root: str, name: str, split: str = "train") -> DataFrame:
+    """A dataset kept as parquet files under ``root/name/split``; an unknown split is an error that names the known ones."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    if split not in known:
+        raise FileNotFoundError(f"{name} has no split {split!r}; there are {', '.join(known) or 'none'}")
+    return spark.read.parquet(f"{root}/{name}/{split}")
+
+
+def ingested(spark: SparkSession, folder: str, schema: StructType | str, keep, need: int, target: str) -> int:
+    """Reads new files of a folder as a stream, file by file, until ``need`` rows that ``keep`` lets through (a function
+    of a frame) are in ``target``, and stops there; what is left is read by the next call. Returns the rows held."""
+    held = [0]
+
+    def take(batch: DataFrame, _: int) -> None:
+        short = need - held[0]
+        if short > 0:
+            part = keep(batch).limit(short).persist()
+            held[0] += part.count()
+            part.write.mode("append").parquet(target)
+            part.unpersist()
+        if held[0] >= need:
+            query[0].stop()
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = [None]
+    writer = stream.writeStream.foreachBatch(lambda b, i: started.wait() and take(b, i))
+    started = threading.Event()
+    query[0] = writer.option("checkpointLocation", f"{target}-offsets").trigger(availableNow=True).start()
+    started.set()
+    try:
+        query[0].awaitTermination()
+    except Exception:
+        if held[0] < need:
+            raise
+    return held[0]
+
+
 def json_field(df: DataFrame, column: str, path: str, value: str | None = None) -> DataFrame:
     """A field of a JSON string column, and only rows where it has the value if one is given."""
     out = df.withColumn("field", F.get_json_object(column, path))
@@ -95,42 +166,65 @@ def text_of(df: DataFrame, candidates: tuple[str, ...] = ("generation", "text",
     return df.withColumn("text", F.coalesce(*have) if have else F.lit(None).cast("string"))
 
 
-class Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+class TooMany(OSError):
+    """The server asks to wait; ``after`` seconds."""
+
+    def __init__(self, after: float = 1.0):
+        super().__init__(f"too many requests, wait {after} s")
+        self.after = after
+
+
+def fetched(fetch: Callable[[str | None], tuple[list, str | None]], cursor: str | None, retries: int, wait=time.sleep):
+    """One page, fetched again after failures: where the server asks to wait, for as long as it says or twice the time of
+    the attempt before, whichever is longer."""
+    pause = 0.0
+    for attempt in range(retries + 1):
+        try:
+            return fetch(cursor)
+        except OSError as e:
+            if attempt == retries:
+                raise
+            pause = max(getattr(e, "after", 0.0), 2 * pause or 0.1)
+            wait(pause)
+
 
+class CursorPages(DataSource):
+    """A scan of pages behind cursors: each page names the next, so one feed is read in order by one task; several feeds
+    (option ``feeds``, names parted by commas) side by side. Option ``need`` ends a feed early.
 
-class PagedSource(DataSource):
-    """A scan of numbered pages, fetched in parallel by ``fetch(number)`` with retries. Subclasses give ``fetch``; option ``pages`` says how many there are."""
+    Subclasses give ``fetch(feed, cursor)``, which returns the page's texts and the next cursor, None at the end.
+    """
 
-    retries = 3
+    retries = 5
 
     @classmethod
     def name(cls) -> str:
-        return "pages"
+        return "cursor_pages"
 
     def schema(self) -> str:
-        return "page int, text string"
+        return "feed string, place int, text string"
 
-    def fetch(self, number: int) -> list[str]:
-        raise NotImplementedError
+    def fetch(self, feed: str, cursor: str | None) -> tuple[list[str], str | None]:
+        raise ValueError(f"{type(self).__name__} must say how a page of {feed} is fetched")
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        source = self
-
-        class Reader(DataSourceReader):
-            def partitions(self) -> list[InputPartition]:
-                return [Page(i) for i in range(int(source.options.get("pages", "1")))]
-
-            def read(self, partition: Page) -> Iterator[tuple]:
-                for attempt in range(source.retries):
-                    try:
-                        rows = source.fetch(partition.number)
-                        break
-                    except OSError:
-                        if attempt + 1 == source.retries:
-                            raise
-                for text in rows:
-                    yield partition.number, text
-
-        return Reader()
+        return _CursorReader(self)
+
+
+class _CursorReader(DataSourceReader):
+    def __init__(self, source: CursorPages):
+        self.source = source
+        self.need = int(source.options.get("need", str(2**31 - 1)))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(f) for f in self.source.options.get("feeds", "main").split(",")]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        feed, cursor, place = partition.value, None, 0
+        while place < self.need:
+            page, cursor = fetched(lambda c: self.source.fetch(feed, c), cursor, self.source.retries)
+            for text in page[: self.need - place]:
+                yield feed, place, text
+                place += 1
+            if cursor is None:
+                return

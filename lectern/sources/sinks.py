@@ -52,3 +52,18 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*head, *("| " + " | ".join(map(show, r)) + " |" for r in rows)])
+
+
+#: Characters with a meaning in LaTeX.
+LATEX = {"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+
+def latex(df: DataFrame, caption: str = "", most: int = 1000) -> str:
+    """A small result table as a LaTeX table, numbers to four places; the first ``most`` rows."""
+    plain = lambda v: "".join(LATEX.get(c, r"\textbackslash{}" if c == "\\" else c) for c in str(v))
+    show = lambda v: "--" if v is None else f"{v:.4f}" if isinstance(v, float) else plain(v)
+    rows = [" & ".join(map(show, r)) + r" \\" for r in df.limit(most).collect()]
+    head = " & ".join(map(plain, df.columns)) + r" \\"
+    lines = [r"\begin{table}", r"\centering", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\hline", head, r"\hline", *rows]
+    lines += [r"\hline", r"\end{tabular}", *([rf"\caption{{{plain(caption)}}}"] if caption else []), r"\end{table}"]
+    return "\n".join(lines)
