@@ -41,10 +41,16 @@ def query(sql: str | None = None):
     return add
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores where it has fewer, as a small file that is one split has: text
+    work is CPU-bound. A table of more splits than cores is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Documents with a text, spread over as many partitions as there are cores: text work is CPU-bound and a small file is one split."""
-    df = table(spark, sf_dir, "documents", "doc_id", *columns, "text").filter("text is not null")
-    return df.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else df
+    """Documents with a text."""
+    return spread(table(spark, sf_dir, "documents", "doc_id", *columns, "text").filter("text is not null"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def packed(df: DataFrame, group: str, order: str, text: str, least_words: int = 150) -> DataFrame:
+def packed(df: DataFrame, group: str, order: str | list[str], text: str, least_words: int = 150) -> DataFrame:
     """(group, part, text): null and empty texts are passed over."""
-    rows = df.select(F.col(group).cast("string").alias("group"), F.col(order).cast("long").alias("order"), F.col(text).alias("text")).filter("text is not null and text <> ''")
+    by = [order] if isinstance(order, str) else order
+    place = F.struct(*(F.col(c) for c in by)).alias("order")
+    rows = df.select(F.col(group).cast("string").alias("group"), place, F.col(text).alias("text"))
+    rows = rows.filter("text is not null and text <> ''")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, part, words, held = None, 0, 0, []
@@ -31,4 +34,5 @@ def packed(df: DataFrame, group: str, order: str, text: str, least_words: int =
                     part, words, held = part + 1, 0, []
             yield pd.DataFrame(out, columns=["group", "part", "text"])
 
-    return rows.repartition("group").sortWithinPartitions("group", "order").mapInPandas(fold, "group string, part int, text string")
+    sorted_ = rows.repartition("group").sortWithinPartitions("group", "order").select("group", "text")
+    return sorted_.mapInPandas(fold, "group string, part int, text string")

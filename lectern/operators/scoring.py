@@ -55,7 +55,9 @@ def explained(long: DataFrame, norms: DataFrame) -> DataFrame:
     routed = long.join(F.broadcast(known.withColumnRenamed("register", "_known")), F.col("register") == F.col("_known"), "left").withColumn("norm_register", F.coalesce("_known", F.lit("all"))).drop("_known")
     n = norms.select(F.col("register").alias("norm_register"), "feature", "human_mean", "human_sd", "cohens_d")
     z = F.when(F.col("human_sd") > 0, (F.col("value") - F.col("human_mean")) / F.col("human_sd")).otherwise(0.0)
-    toward = F.when(F.col("cohens_d") > 0, F.col("z_score") > 0.5).otherwise(F.col("z_score") < -0.5)
+    # An effect of 0 or null leans neither way.
+    up, down = F.col("cohens_d") > 0, F.col("cohens_d") < 0
+    toward = F.coalesce((up & (F.col("z_score") > 0.5)) | (down & (F.col("z_score") < -0.5)), F.lit(False))
     return routed.join(F.broadcast(n), ["norm_register", "feature"]).withColumn("z_score", z).withColumn("deviation_towards_ai", toward)
 
 
@@ -77,7 +79,7 @@ def soft_routed(weights: list[Column], scores: list[Column]) -> Column:
 def fused_min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     """``fused``: the mean of the columns after each is brought to 0..1 over the whole table, by one aggregate of a single row."""
     ranges = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
-    joined = df.join(F.broadcast(ranges))
+    joined = df.crossJoin(F.broadcast(ranges))
     unit = [(F.col(c) - F.col(f"_lo_{c}")) / F.nullif(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(0)) for c in columns]
     return joined.withColumn("fused", sum(unit[1:], unit[0]) / len(unit)).drop(*[x for x in joined.columns if x.startswith(("_lo_", "_hi_"))])
 

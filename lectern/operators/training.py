@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import running, sampling, stats
@@ -109,9 +110,67 @@ def attribution(df: DataFrame, features: list[str], source: str) -> PipelineMode
     return Pipeline(stages=[StringIndexer(inputCol=source, outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial")]).fit(df)
 
 
-def text_classifier(label: str = "label", words: str = "words", size: int = 10_000) -> Pipeline:
-    """TF-IDF of words and word pairs with a linear margin classifier."""
-    return Pipeline(stages=[NGram(n=2, inputCol=words, outputCol="_pairs"), CountVectorizer(inputCol=words, outputCol="_c1", vocabSize=size), CountVectorizer(inputCol="_pairs", outputCol="_c2", vocabSize=size), VectorAssembler(inputCols=["_c1", "_c2"], outputCol="_counts"), IDF(inputCol="_counts", outputCol="_tfidf"), LinearSVC(featuresCol="_tfidf", labelCol=label)])
+def attribution_report(model: PipelineModel, df: DataFrame, source: str) -> DataFrame:
+    """(source, predicted, n, precision, recall): the confusion matrix, with the precision of the predicted class and the
+    recall of the true one."""
+    names = F.array(*map(F.lit, model.stages[0].labels))
+    found = model.transform(df).withColumn("predicted", F.get(names, F.col("prediction").cast("int")))
+    cells = found.groupBy(source, "predicted").agg(F.count(F.lit(1)).alias("n"))
+    true = cells.groupBy(F.col(source).alias("_s")).agg(F.sum("n").alias("_true"))
+    said = cells.groupBy(F.col("predicted").alias("_p")).agg(F.sum("n").alias("_said"))
+    right = cells.filter(F.col(source) == F.col("predicted")).select(F.col(source).alias("_r"), F.col("n").alias("_right"))
+    joined = cells.join(true, F.col(source) == F.col("_s")).join(said, F.col("predicted") == F.col("_p"))
+    of = lambda c, name: right.select(F.col("_r").alias(f"_k{name}"), F.col("_right").alias(name))
+    joined = joined.join(of("p", "_hit_p"), F.col("predicted") == F.col("_k_hit_p"), "left")
+    joined = joined.join(of("s", "_hit_s"), F.col(source) == F.col("_k_hit_s"), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return joined.select(
+        source, "predicted", "n", (zero("_hit_p") / F.col("_said")).alias("precision"),
+        (zero("_hit_s") / F.col("_true")).alias("recall"),
+    )
+
+
+def word_grams(words: Column, low: int = 2, high: int = 5) -> Column:
+    """Character n-grams within words, each word framed by blanks."""
+
+    def grams(lists: pd.Series) -> pd.Series:
+        def of(w: str) -> list[str]:
+            framed = f" {w} "
+            return [framed[i : i + n] for n in range(low, high + 1) for i in range(len(framed) - n + 1)]
+
+        return lists.map(lambda ws: None if ws is None else [g for w in ws for g in of(w)])
+
+    return F.pandas_udf(grams, "array<string>")(words)
+
+
+def text_classifier(label: str = "label", words: str = "words", size: int = 10_000, grams: str | None = None) -> Pipeline:
+    """TF-IDF of words and word pairs, and of character n-grams where a column of them is named, with a linear margin
+    classifier; ``size`` terms of each."""
+    steps = [
+        NGram(n=2, inputCol=words, outputCol="_pairs"),
+        CountVectorizer(inputCol=words, outputCol="_c1", vocabSize=size),
+        CountVectorizer(inputCol="_pairs", outputCol="_c2", vocabSize=size),
+    ]
+    parts = ["_c1", "_c2"]
+    if grams:
+        steps.append(CountVectorizer(inputCol=grams, outputCol="_c3", vocabSize=size))
+        parts.append("_c3")
+    steps += [
+        VectorAssembler(inputCols=parts, outputCol="_counts"),
+        IDF(inputCol="_counts", outputCol="_tfidf"),
+        LinearSVC(featuresCol="_tfidf", labelCol=label),
+    ]
+    return Pipeline(stages=steps)
+
+
+def calibrated_margins(scored: DataFrame, margin: str, label: str, k: int = 5) -> DataFrame:
+    """``p``: a logistic map of margins to probabilities, fitted on the other folds (column ``fold``)."""
+    out = None
+    for f in range(k):
+        model = classifier("lr", [margin], label).fit(scored.filter(F.col("fold") != f))
+        part = probabilities(model, scored.filter(F.col("fold") == f))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def text_cross_validated(df: DataFrame, id_col: str, label: str = "label", words: str = "words", k: int = 5, size: int = 10_000) -> DataFrame:
@@ -120,13 +179,17 @@ def text_cross_validated(df: DataFrame, id_col: str, label: str = "label", words
     out = None
     for f in range(k):
         model = text_classifier(label, words, size).fit(folded.filter(F.col("fold") != f))
-        part = model.transform(folded.filter(F.col("fold") == f)).select(*folded.columns, "prediction")
+        held = model.transform(folded.filter(F.col("fold") == f))
+        part = held.select(*folded.columns, "prediction", vector_to_array("rawPrediction")[1].alias("margin"))
         out = part if out is None else out.unionAll(part)
     return out
 
 
-def embedding_probe(df: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
-    """Probabilities of a logistic model on an embedding column; for more than two labels the top class is in ``prediction``."""
-    x = df.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>")))
-    model = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=30, regParam=0.01).fit(x)
-    return model.transform(x).select(*df.columns, "prediction")
+def embedding_probe(
+    df: DataFrame, vector: str = "embedding", label: str = "label", test: DataFrame | None = None
+) -> DataFrame:
+    """The top class (``prediction``) of a logistic model on an embedding column, for the rows of ``test`` or of ``df``."""
+    of = lambda x: x.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>")))
+    model = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=30, regParam=0.01).fit(of(df))
+    test = df if test is None else test
+    return model.transform(of(test)).select(*test.columns, "prediction")

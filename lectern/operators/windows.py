@@ -13,9 +13,9 @@ from pyspark.sql import window as W
 from lectern.functions import text as X
 
 
-def sentence_rows(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, idx, sentence)"""
-    return df.select(id_col, F.posexplode(X.sentences(text_col)).alias("idx", "sentence"))
+def sentence_rows(df: DataFrame, id_col: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(id, idx, sentence), and the columns to keep."""
+    return df.select(id_col, *(keep or []), F.posexplode(X.sentences(text_col)).alias("idx", "sentence"))
 
 
 def centred_windows(sentences: DataFrame, id_col: str, least_words: int = 15) -> DataFrame:

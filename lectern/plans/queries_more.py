@@ -4,22 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.catalog import documents, query, scores, table
+from lectern.catalog import documents, query, scores, spread, table
 from lectern.functions import features as FX
 from lectern.functions import text as X
 from lectern.functions.unicode import nfkc
 from lectern.operators import packing, perturb, sampling, stats, training, windows
 from lectern.plans import detect
 from lectern.plans.stage import written
-from lectern.plans.queries_text import STYLE
+from lectern.plans.queries_text import DOCS, STYLE, sentences_sql, space_words_sql
 
 
-@query()
+def _packed_sql(least: int = 150) -> str:
+    """A fold over each source's sentences in order: documents done, sentences held, words held."""
+    words = f"len({space_words_sql('t')})"
+    start = "{'done': []::VARCHAR[], 'held': ''::VARCHAR, 'n': 0::BIGINT}"
+    return f"""WITH s AS (SELECT doc_id, source, unnest(range(len(s))) AS idx, unnest(s) AS t FROM (SELECT doc_id, source, {sentences_sql('text')} AS s FROM {DOCS})),
+    w AS (SELECT source, doc_id, idx, t, {words}::BIGINT AS w FROM s WHERE t <> ''),
+    g AS (SELECT source, list({{'t': t, 'w': w}} ORDER BY doc_id, idx) AS x FROM w GROUP BY 1),
+    r AS (SELECT source, list_reduce(list_transform(x, lambda e: {{'done': []::VARCHAR[], 'held': e.t, 'n': e.w}}), lambda a, e: CASE WHEN a.n + e.n >= {least}
+      THEN {{'done': list_append(a.done, trim(CASE WHEN a.held = '' THEN e.held ELSE a.held || ' ' || e.held END)), 'held': ''::VARCHAR, 'n': 0::BIGINT}}
+      ELSE {{'done': a.done, 'held': CASE WHEN a.held = '' THEN e.held ELSE a.held || ' ' || e.held END, 'n': a.n + e.n}} END, {start}) AS r FROM g)
+    SELECT source AS "group", (unnest(range(len(r.done))))::BIGINT AS part, unnest(r.done) AS text FROM r"""
+
+
+@query(_packed_sql())
 def t15_packed(spark, d):
-    s = windows.sentence_rows(documents(spark, d, "source"), "doc_id")
-    src = table(spark, d, "documents", "doc_id", "source")
-    rows = s.join(src, "doc_id").select("source", (F.col("doc_id") * 100_000 + F.col("idx")).alias("place"), "sentence")
-    return packing.packed(rows, "source", "place", "sentence")
+    """Sentences of a source, in the order of documents, joined until a text has 150 words."""
+    s = windows.sentence_rows(documents(spark, d, "source"), "doc_id", keep=["source"])
+    return packing.packed(s, "source", ["doc_id", "idx"], "sentence")
 
 
 @query()
@@ -30,8 +42,8 @@ def t18_plain_look_alikes(spark, d):
 @query()
 def detect_requests(spark, d):
     """The batch detection of every request."""
-    r = table(spark, d, "detect_request", "request_id", "text", "register", "sensitivity").repartition(spark.sparkContext.defaultParallelism)
-    return detect.detected(r, "request_id", sensitivity_col="sensitivity")
+    r = table(spark, d, "detect_request", "request_id", "text", "register", "sensitivity")
+    return detect.detected(spread(r), "request_id", sensitivity_col="sensitivity")
 
 
 @query()
@@ -51,7 +63,7 @@ def h7_auc_by_strategy(spark, d):
         text = F.col("text") if name == "clean" else perturb.humanized("text", name)
         out = out.unionAll(docs.filter("label = 1").select("label", F.lit(name).alias("strategy"), text.alias("text")))
     # Written first: a rewrite would else be worked out again for every feature that reads its text.
-    rewritten = written(out).repartition(spark.sparkContext.defaultParallelism)
+    rewritten = spread(written(out))
     each = F.explode(F.when(F.col("strategy").isNull(), F.array(*map(F.lit, names))).otherwise(F.array("strategy")))
     # A filter on the score must not be pushed below the features, where they would be worked out twice.
     scored = written(detect.default_scorer(FX.native(rewritten)).select("label", "p", "strategy")).withColumn("strategy", each)
@@ -77,11 +89,13 @@ def m7_calibrated(spark, d):
 
 @query()
 def m26_attribution(spark, d):
-    """Counts of true and predicted families of a multinomial model on style features."""
+    """True and predicted families of held-out documents by a multinomial model on style features: counts, with the
+    precision and recall of each family."""
     docs = documents(spark, d, "source").filter("source is not null").withColumn("source", F.when(F.col("source").startswith("gen_"), "generated").when(F.col("source").contains("feed"), "feed").otherwise("other"))
-    f = written(FX.native(docs).select("source", *STYLE)).dropna(subset=STYLE)
-    model = training.attribution(f, STYLE, "source")
-    return model.transform(f).groupBy("source", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    f = written(FX.native(docs).select("doc_id", "source", *STYLE)).dropna(subset=STYLE)
+    f = written(sampling.split(f, ["source"], "doc_id", 0.3))
+    model = training.attribution(f.filter("not is_test"), STYLE, "source")
+    return training.attribution_report(model, f.filter("is_test"), "source")
 
 
 @query()

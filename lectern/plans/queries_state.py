@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lectern.catalog import documents, query, scores, table
 from lectern.functions import text as X
-from lectern.operators import training
+from lectern.operators import sampling, stats, training
+from lectern.plans.stage import written
 from lectern.sources import readers
 from lectern.streaming import stateful
 
@@ -47,31 +48,52 @@ def o10_except(spark, d):
     return a.subtract(table(spark, d, "effect_sizes", "register")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def halves(spark, d, df, label="label", id_col="row_id"):
+    """Rows to fit on, and held-out ones."""
+    rows = written(sampling.split(df, [label], id_col, 0.3))
+    return rows.filter("not is_test"), rows.filter("is_test")
+
+
 @query()
 def m18_stacked(spark, d):
-    s = scores(spark, d).dropna()
-    model = training.classifier("lr", ["stylometric_score", "binoculars_score_neg"]).fit(s)
-    return training.probabilities(model, s).select("row_id", (F.col("p") >= 0.5).alias("is_ai"))
+    """Stacked probability of held-out rows."""
+    train, test = halves(spark, d, scores(spark, d).dropna())
+    model = training.classifier("lr", ["stylometric_score", "binoculars_score_neg"]).fit(train)
+    return training.probabilities(model, test).select("row_id", "label", "p")
+
+
+SIGNALS = ["stylometric_score", "binoculars_score", "binoculars_score_neg"]
 
 
 @query()
 def m19_forest_cv(spark, d):
-    s = scores(spark, d).dropna()
-    return training.fold_metrics(training.cross_validated(s, "rf", ["stylometric_score", "binoculars_score", "binoculars_score_neg"], "row_id", k=3, numTrees=20, maxDepth=5).withColumn("model", F.lit("rf")), ["model"])
+    """Forests of 100 trees over three folds."""
+    held = training.cross_validated(written(scores(spark, d).dropna()), "rf", SIGNALS, "row_id", k=3)
+    return training.fold_metrics(held.withColumn("model", F.lit("rf")), ["model"])
 
 
 @query()
 def m25_cross_domain(spark, d):
-    return training.cross_domain(scores(spark, d).dropna(), "register", ["stylometric_score", "binoculars_score_neg"])
+    """AUC of a model of each register on each other: on all scores together, and of each score by itself, which needs
+    no model."""
+    s = written(scores(spark, d).dropna())
+    out = training.cross_domain(s, "register", SIGNALS).withColumn("features", F.lit("all"))
+    for c in SIGNALS:
+        own = stats.auc(s, ["register"], c, "label").select(F.lit(None).cast("string").alias("train"), F.col("register").alias("test"), "auc")
+        out = out.unionByName(own.withColumn("features", F.lit(c)))
+    return out
 
 
 @query()
 def m29_embedding_probe(spark, d):
-    return training.embedding_probe(table(spark, d, "embeddings", "vec_id", "embedding", "label")).select("vec_id", "label", "prediction")
+    """Predicted labels of held-out embeddings."""
+    train, test = halves(spark, d, table(spark, d, "embeddings", "vec_id", "embedding", "label"), id_col="vec_id")
+    return training.embedding_probe(train, test=test).select("vec_id", "label", "prediction")
 
 
 @query()
 def m27_text_classifier(spark, d):
-    """Predictions of every labelled document by a text classifier fitted on the other folds."""
+    """Predictions and calibrated probabilities of every labelled document by a text classifier fitted on the other folds."""
     docs = documents(spark, d, "label").filter("label in (0, 1)").select("doc_id", "label", X.words("text").alias("words"))
-    return training.text_cross_validated(docs, "doc_id").select("doc_id", "label", "fold", "prediction")
+    held = written(training.text_cross_validated(docs, "doc_id").select("doc_id", "label", "fold", "prediction", "margin"))
+    return training.calibrated_margins(held, "margin", "label").select("doc_id", "label", "fold", "prediction", "p")

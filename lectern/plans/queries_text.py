@@ -191,7 +191,7 @@ def phrase_sql(choices: list[str], source: str = "lower(text)") -> str:
     return f"len(regexp_extract_all({framed}, '{alternatives}'))"
 
 
-def _native_sql() -> str:
+def _native_sql(digits: int = 6) -> str:
     opener = "^(?:" + "|".join(L.CONNECTORS) + ")[ ,]"
     ends = lambda suffixes, least: f"len(list_filter(w, lambda t: length(t) >= {least} AND regexp_matches(t, '(?:{'|'.join(suffixes)})$')))"
     syl = "list_transform(w, lambda word: " + SYLLABLES_SQL + ")"
@@ -224,7 +224,7 @@ def _native_sql() -> str:
         "type_token_ratio": "coalesce(len(list_distinct(content)) / nullif(len(content), 0), 0)",
         "sent_length_std": deviation_sql("lens"),
     }
-    cols = ", ".join(f"CASE WHEN n >= 5 THEN round(({v})::DOUBLE, 6) END AS {k}" for k, v in f.items())
+    cols = ", ".join(f"CASE WHEN n >= 5 THEN round(({v})::DOUBLE, {digits}) END AS {k}" for k, v in f.items())
     return f"""WITH a AS (SELECT doc_id, text, {words_sql('text')} AS w, {sentences_sql('text')} AS s FROM {DOCS}),
     b AS (SELECT *, len(w) AS n, greatest(1, len(s)) AS sents, list_filter(list_transform(s, lambda x: len({words_sql('x')})), lambda k: k > 0) AS lens, {syl} AS syls, {punct} AS punct,
       list_filter(w, lambda t: NOT list_contains({in_list(L.STOPWORDS)}, t) AND length(t) > 2) AS content, {count_sql(L.POSITIVES)} AS pos, {count_sql(L.NEGATIVES)} AS neg FROM a),
@@ -311,25 +311,36 @@ CONTENT = {
 }
 
 
-@query(
-    f"""WITH a AS (SELECT doc_id, {words_sql('text')} AS w, {FLAT} AS t FROM {DOCS}),
+def _counted_sql(digits: int = 6) -> str:
+    cols = [f"CASE WHEN n >= 5 THEN round(coalesce({v}, 0), {digits})::DOUBLE END AS {k}" for k, v in CONTENT.items()]
+    return f"""WITH a AS (SELECT doc_id, {words_sql('text')} AS w, {FLAT} AS t FROM {DOCS}),
     b AS (SELECT *, len(w) AS n, list_filter(w, lambda x: {NOT_STOP}) AS content FROM a), {COUNTS_SQL}
-    SELECT b.doc_id, """
-    + ", ".join(f"CASE WHEN n >= 5 THEN round(coalesce({v}, 0), 6)::DOUBLE END AS {k}" for k, v in CONTENT.items())
-    + " FROM b LEFT JOIN cs USING (doc_id) LEFT JOIN gs USING (doc_id)"
-)
+    SELECT b.doc_id, {', '.join(cols)} FROM b LEFT JOIN cs USING (doc_id) LEFT JOIN gs USING (doc_id)"""
+
+
+@query(_counted_sql())
 def x_counted_features(spark, d):
     return FX.counted(documents(spark, d)).drop("text", "mtld")
 
 
-@query(
-    f"""WITH a AS (SELECT doc_id, {words_sql('text')} AS w FROM {DOCS}) SELECT doc_id,
-    CASE WHEN len(w) >= 10 THEN round({diversity_sql()}, 6)::DOUBLE WHEN len(w) >= 5 THEN 0.0::DOUBLE END AS mtld FROM a"""
-)
+def _mtld_sql(digits: int = 6) -> str:
+    return f"""WITH a AS (SELECT doc_id, {words_sql('text')} AS w FROM {DOCS}) SELECT doc_id,
+    CASE WHEN len(w) >= 10 THEN round({diversity_sql()}, {digits})::DOUBLE WHEN len(w) >= 5 THEN 0.0::DOUBLE END AS mtld FROM a"""
+
+
+@query(_mtld_sql())
 def x_mtld(spark, d):
     return FX.counted(documents(spark, d)).select("doc_id", "mtld")
 
 
+def _original_sql() -> str:
+    """The eleven original features, not rounded."""
+    return (
+        f"SELECT doc_id, {', '.join(FX.ORIGINAL)} FROM ({_native_sql(14)}) JOIN ({_counted_sql(14)}) USING (doc_id) "
+        f"JOIN ({_mtld_sql(14)}) USING (doc_id)"
+    )
+
+
 def ascii_words_sql(x: str) -> str:
     tokens = rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
     return f"list_filter({tokens}, lambda y: regexp_full_match(y, '[a-z]+'))"
@@ -443,12 +454,22 @@ def style(spark, d, *columns):
 
 
 STYLE = ["mean_sent_len", "sent_cv", "self_mention_density", "connector_density", "opener_ratio", "hedge_density", "boost_density", "punct_entropy", "type_token_ratio", "preposition_density"]
-EFFECTS_SQL = f"""WITH f AS ({_native_sql()}), l AS (SELECT doc_id, coalesce(nullif(lower(trim(lang)), ''), 'unknown') AS language, label FROM documents WHERE label IN (0, 1)),
-    long AS (SELECT language, label, feature, value FROM (SELECT * FROM f JOIN l USING (doc_id)) UNPIVOT (value FOR feature IN ({', '.join(STYLE)}))),
+def _effects_sql(features: str, names: list[str], digits: int, more: bool) -> str:
+    """``more``: with deviations."""
+    r = lambda x: f"round({x}, {digits})::DOUBLE"
+    sds = f"{r('sqrt(v0)')} AS human_sd, {r('sqrt(v1)')} AS ai_sd," if more else ""
+    on = lambda f, k: f"{f}(value) FILTER (WHERE label = {k})"
+    d = "CASE WHEN n0 < 2 OR n1 < 2 THEN NULL WHEN sd = 0 THEN 0.0 ELSE (m1 - m0) / nullif(sd, 0) END"
+    return f"""WITH f AS ({features}), l AS (SELECT doc_id, coalesce(nullif(lower(trim(lang)), ''), 'unknown') AS language, label FROM documents WHERE label IN (0, 1)),
+    long AS (SELECT language, label, feature, value FROM (SELECT * FROM f JOIN l USING (doc_id)) UNPIVOT (value FOR feature IN ({', '.join(names)}))),
     both_ AS (SELECT language, label, feature, value FROM long UNION ALL SELECT 'all', label, feature, value FROM long),
-    m AS (SELECT language, feature, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1, avg(value) FILTER (WHERE label = 0) AS m0, avg(value) FILTER (WHERE label = 1) AS m1, var_samp(value) FILTER (WHERE label = 0) AS v0, var_samp(value) FILTER (WHERE label = 1) AS v1 FROM both_ GROUP BY 1, 2),
+    m AS (SELECT language, feature, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1, {on('avg', 0)} AS m0,
+      {on('avg', 1)} AS m1, {on('var_samp', 0)} AS v0, {on('var_samp', 1)} AS v1 FROM both_ GROUP BY 1, 2),
     p AS (SELECT *, sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / nullif(n0 + n1 - 2, 0)) AS sd FROM m)
-    SELECT language, feature, n0::BIGINT AS n_human, n1::BIGINT AS n_ai, round(m0, 4)::DOUBLE AS human_mean, round(m1, 4)::DOUBLE AS ai_mean, round(CASE WHEN n0 < 2 OR n1 < 2 THEN NULL WHEN sd = 0 THEN 0.0 ELSE (m1 - m0) / nullif(sd, 0) END, 4)::DOUBLE AS cohens_d FROM p"""
+    SELECT language, feature, n0::BIGINT AS n_human, n1::BIGINT AS n_ai, {r('m0')} AS human_mean, {sds} {r('m1')} AS ai_mean, {r(d)} AS cohens_d FROM p"""
+
+
+EFFECTS_SQL = _effects_sql(_native_sql(), STYLE, 4, False)
 
 
 @query(EFFECTS_SQL)
@@ -464,14 +485,23 @@ def original(spark, d, *columns):
     return kernel.with_features(documents(spark, d, *columns), columns=FX.ORIGINAL).drop("text", "n_words", "n_sents")
 
 
-@query()
+@query(_effects_sql(_original_sql(), FX.ORIGINAL, 6, True))
 def effect_sizes_original(spark, d):
-    """Effect sizes of the eleven original features by language and over all; those that need counts have no SQL."""
+    """Effect sizes of the eleven original features by language and over all."""
     f = original(spark, d, "lang", "label").filter("label in (0, 1)").withColumn("language", F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("unknown")))
     return stats.effect_sizes_wide(f, "language", FX.ORIGINAL)
 
 
-@query()
+def _explained_sql() -> str:
+    z = "CASE WHEN human_sd > 0 THEN (value - human_mean) / human_sd ELSE 0.0 END"
+    return f"""WITH f AS ({_original_sql()}), l AS (SELECT doc_id, coalesce(n.register, 'all') AS norm_register FROM documents d
+      LEFT JOIN (SELECT DISTINCT register FROM effect_sizes) n ON n.register = lower(trim(d.register)) WHERE text IS NOT NULL),
+    long AS (SELECT * FROM (SELECT * FROM f JOIN l USING (doc_id)) UNPIVOT (value FOR feature IN ({', '.join(FX.ORIGINAL)}))),
+    z AS (SELECT doc_id, feature, norm_register, cohens_d, {z} AS z FROM long JOIN effect_sizes e ON e.register = norm_register AND e.feature = long.feature)
+    SELECT doc_id, feature, norm_register, round(z, 6)::DOUBLE AS z_score, coalesce((cohens_d > 0 AND z > 0.5) OR (cohens_d < 0 AND z < -0.5), false) AS deviation_towards_ai FROM z"""
+
+
+@query(_explained_sql().replace("SELECT doc_id, feature, norm_register, cohens_d", "SELECT doc_id, long.feature, norm_register, cohens_d"))
 def m9_explained(spark, d):
     """z-scores of the eleven original features against the norms of the document's register."""
     norms = table(spark, d, "effect_sizes", "register", "feature", "human_mean", "human_sd", "cohens_d")

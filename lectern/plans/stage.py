@@ -9,47 +9,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables written by this driver and not yet deleted.
+_tables: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of its own only where that is unset (tests, local mode)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, in local mode a temporary one of its own; on a cluster
+    that is an error, since executors would write to disks that others cannot read."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        folder = tempfile.mkdtemp(prefix="lectern-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    if folder:
+        return folder
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a parquet table in the shared folder: it outlives a lost executor and is computed once.
 
-    The table is deleted when the driver's JVM ends.
+    The table is deleted by ``clear``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables written so far, once the results made from them have been saved; returns how many."""
+    n = 0
+    while _tables:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        n += target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return n
+
+
 def partitions(spark: SparkSession) -> int:
     """The shuffle width the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a few fixed-width columns that a task may hold as a broadcast relation: some 50 MB.
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (narrow, and written, so that counting is cheap) marked for broadcast if it has at most ``rows`` rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, those with the smallest hashes of ``key``. Rows beyond a hash bound a little above the wanted share are dropped where they are read, so what travels is near ``rows`` however many tasks there are."""
     total = df.count()
