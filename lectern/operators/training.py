@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -37,6 +38,22 @@ def probabilities(model: PipelineModel, df: DataFrame, name: str = "p") -> DataF
     return out.withColumn(name, p).select(*df.columns, name)
 
 
+def logistic_expression(model: PipelineModel) -> Column:
+    """The probability of a fitted logistic pipeline as one arithmetic expression of its feature columns, which stays in
+    generated code; null where a feature is null."""
+    assembler, *scaled, last = model.stages
+    names, weights = assembler.getInputCols(), last.coefficients.toArray()
+    mean, sd = np.zeros(len(names)), np.ones(len(names))
+    for s in scaled:
+        sd = np.where(s.std.toArray() > 0, s.std.toArray(), 1.0)
+        mean = s.mean.toArray() if s.getWithMean() else mean
+        weights = np.where(s.std.toArray() > 0, weights, 0.0)
+    total = F.lit(float(last.intercept - (weights * mean / sd).sum()))
+    for c, w in zip(names, weights / sd):
+        total = total + F.col(c) * F.lit(float(w))
+    return 1 / (1 + F.exp(-total))
+
+
 def cross_validated(df: DataFrame, kind: str, features: list[str], id_col: str, label: str = "label", k: int = 5, **settings) -> DataFrame:
     """Held-out probabilities of every row by stratified folds: (columns, fold, p)."""
     folded = written(sampling.folds(df.dropna(subset=[*features, label]), [label], id_col, k))
