@@ -10,7 +10,9 @@ made only for texts of such pairs, told by a Bloom filter of their ids where the
 
 Texts with the same set of runs are one class: only the class's smallest id takes part in the join, and
 members are added afterwards. A block or key of any size is handled by the sort-merge join, whose skewed
-partitions the adaptive planner splits on both sides.
+partitions the adaptive planner splits on both sides. Of blocks of more than ``LARGE`` texts (a boilerplate makes
+such) the fingerprints travel along, and pairs are verified where they are joined, so that only near pairs are
+sent on.
 
 Defined results: null texts and texts with fewer words than asked take part in nothing; a text with fewer
 words than ``k`` has no runs and equals no other; repeated ids count once; an empty table gives an empty
@@ -32,6 +34,8 @@ from lectern.llm.bloom import bloom, may_hold
 from lectern.plans.stage import written
 
 SIZE, WIDTH = 60, 3
+#: Blocks of more texts are verified within the join.
+LARGE = 256
 _SEEDS = cp.mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64))
 _MULTIPLY, _ADD = _SEEDS[:SIZE] | np.uint64(1), _SEEDS[SIZE:]
 
@@ -142,12 +146,21 @@ def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     classes = sketched.join(members.filter("id = class_id").select("id"), "id", "left_semi")
     blocks = classes.select(F.posexplode("blocks").alias("place", "part"), "id")
     blocks = blocks.select((F.shiftleft(F.col("place").cast("long"), 32) + F.col("part")).alias("block"), "id")
-    pairs = blocks.select("block", F.col("id").alias("a")).hint("merge").join(blocks.select("block", F.col("id").alias("b")).hint("merge"), "block").filter("a < b").select("a", "b").distinct()
+    blocks = written(blocks)
+    large = written(blocks.groupBy("block").count().filter(F.col("count") > LARGE).select("block"))
     # The largest distance that a pair at the threshold exceeds once in some ten thousand times.
     spread = (threshold * (1 - threshold) / SIZE) ** 0.5
     most_apart = int(np.ceil(SIZE * min(1.0, 1 - threshold + 3.7 * spread)))
     printed = lambda x: sketched.select(F.col("id").alias(x), F.col("print").alias(f"print_{x}"))
-    near = written(pairs.join(printed("a"), "a").join(printed("b"), "b").mapInArrow(_near(most_apart), "a long, b long"))
+    side = lambda rows, x: rows.select("block", F.col("id").alias(x))
+    small = blocks.join(large, "block", "left_anti")
+    pairs = side(small, "a").hint("merge").join(side(small, "b").hint("merge"), "block").filter("a < b")
+    pairs = pairs.select("a", "b").distinct().join(printed("a"), "a").join(printed("b"), "b")
+    hot = blocks.join(large, "block", "left_semi")
+    hot_side = lambda x: side(hot, x).join(printed(x), x).hint("merge")
+    hot_pairs = hot_side("a").join(hot_side("b"), "block").filter("a < b").select("a", "b", "print_a", "print_b")
+    near = pairs.select("a", "b", "print_a", "print_b").mapInArrow(_near(most_apart), "a long, b long")
+    near = written(near.unionAll(hot_pairs.mapInArrow(_near(most_apart), "a long, b long")).distinct())
     ids = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sent = df.sparkSession.sparkContext.broadcast(bloom(ids))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lectern.llm import abuse, bloom, collapse, cube, cutoff, leak, lookalike, mixing
+from lectern.llm import abuse, bloom, collapse, cube, cutoff, leak, lookalike, mixing, neardup
 
 VOCAB = [a + b for a in "ba ke lo mi nu pra ste vor zan dul".split() for b in "ron tel mas vik dor lan pey gus".split()]
 
@@ -148,3 +148,16 @@ def test_few_texts_and_no_words(spark):
     rows = [(1, "s", "-"), (2, "s", "..."), (3, None, "n/a"), (4, "s", "One. Two [...]"), (4, "s", "One. Two [...]")]
     df = spark.createDataFrame(rows, "row_id long, source string, text string")
     assert [r.id for r in cutoff.cut_records([(0, df, "row_id")]).collect()] == [4]
+
+
+def test_large_blocks_give_the_same_links(spark, monkeypatch):
+    rows = []
+    for i in range(40):
+        words = text(7, 60).split()
+        words[i] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    run = lambda: {tuple(r) for r in neardup.near_duplicates(df, k=3, threshold=0.6)[1].select("a", "b").collect()}
+    whole = run()
+    monkeypatch.setattr(neardup, "LARGE", 1)
+    assert run() == whole and len(whole) == 40 * 39 // 2
