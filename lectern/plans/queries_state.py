@@ -21,9 +21,18 @@ def z4_rate_limit(spark, d):
     return stateful.limited(table(spark, d, "events", "user_id", "event_id", "ts"), "user_id", "event_id", "ts").drop("at")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT md5(coalesce(text, '') || '||' || coalesce(register, '')) AS key, request_id AS event_id,
+      epoch_us(received_at) / 1e6 AS sec FROM detect_request WHERE received_at IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sec, event_id) AS k FROM e),
+    f AS (SELECT key, event_id, sec, k, sec AS stored, false AS hit FROM k WHERE k = 1
+      UNION ALL SELECT k.key, k.event_id, k.sec, k.k, CASE WHEN k.sec - f.stored <= 3600 THEN f.stored ELSE k.sec END, k.sec - f.stored <= 3600
+      FROM f JOIN k ON k.key = f.key AND k.k = f.k + 1)
+    SELECT event_id::BIGINT AS event_id, key, hit FROM f"""
+)
 def z3_cache_hits(spark, d):
-    return stateful.cache_hits(table(spark, d, "detect_request", "request_id", "text", "register", "received_at"), "request_id", "text", "register", "received_at")
+    requests = table(spark, d, "detect_request", "request_id", "text", "register", "received_at")
+    return stateful.cache_hits(requests, "request_id", "text", "register", "received_at").drop("at")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4)::DOUBLE AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")

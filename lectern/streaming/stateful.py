@@ -75,7 +75,9 @@ def limited_stream(events: DataFrame, key: str, id_col: str, time_col: str, most
 def cache_hits(requests: DataFrame, id_col: str, text: str, register: str, time_col: str, ttl: int = 3600) -> DataFrame:
     """Whether each request finds a fresh answer to the same text and register: the last miss of its key lies at most ``ttl`` seconds back. A miss starts a new answer.
 
-    Requests of one key are grouped by a fold in time order like the limiter's, so hot keys hold one number.
+    Requests of one key are grouped by a fold in time order like the limiter's: sequential by definition, so the requests
+    of one key pass through one task, which holds one number for them. Null and empty texts are one key, as the
+    definition has it.
     """
     rows = requests.select(F.col(id_col).cast("long").alias("event_id"), F.md5(F.concat_ws("||", F.coalesce(text, F.lit("")), F.coalesce(register, F.lit("")))).alias("key"), (F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6).alias("at")).filter("at is not null")
 
