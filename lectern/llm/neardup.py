@@ -143,24 +143,26 @@ def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     sketched = written(sketches(df, id_col, text_col, k, least_words))
     members = sketched.groupBy("s1", "s2").agg(F.min("id").alias("class_id"))
     members = written(sketched.select("id", "s1", "s2").join(members, ["s1", "s2"]).select("id", "class_id").distinct())
-    classes = sketched.join(members.filter("id = class_id").select("id"), "id", "left_semi")
-    blocks = classes.select(F.posexplode("blocks").alias("place", "part"), "id")
-    blocks = blocks.select((F.shiftleft(F.col("place").cast("long"), 32) + F.col("part")).alias("block"), "id")
-    blocks = written(blocks)
+    own = members.filter("id = class_id").select("id")
+    # Repeated ids count once.
+    classes = written(sketched.select("id", "blocks", "print").join(own, "id", "left_semi").dropDuplicates(["id"]))
+    block = (F.shiftleft(F.col("place").cast("long"), 32) + F.col("part")).alias("block")
+    exploded = classes.select(F.posexplode("blocks").alias("place", "part"), "id", "print")
+    blocks, printed_blocks = exploded.select(block, "id"), exploded.select(block, "id", "print")
     large = written(blocks.groupBy("block").count().filter(F.col("count") > LARGE).select("block"))
     # The largest distance that a pair at the threshold exceeds once in some ten thousand times.
     spread = (threshold * (1 - threshold) / SIZE) ** 0.5
     most_apart = int(np.ceil(SIZE * min(1.0, 1 - threshold + 3.7 * spread)))
-    printed = lambda x: sketched.select(F.col("id").alias(x), F.col("print").alias(f"print_{x}"))
-    side = lambda rows, x: rows.select("block", F.col("id").alias(x))
+    printed = lambda x: classes.select(F.col("id").alias(x), F.col("print").alias(f"print_{x}"))
     small = blocks.join(large, "block", "left_anti")
-    pairs = side(small, "a").hint("merge").join(side(small, "b").hint("merge"), "block").filter("a < b")
-    pairs = pairs.select("a", "b").distinct().join(printed("a"), "a").join(printed("b"), "b")
-    hot = blocks.join(large, "block", "left_semi")
-    hot_side = lambda x: side(hot, x).join(printed(x), x).hint("merge")
+    side = lambda x: small.select("block", F.col("id").alias(x)).hint("merge")
+    pairs = side("a").join(side("b"), "block").filter("a < b").select("a", "b").distinct()
+    pairs = pairs.join(printed("a"), "a").join(printed("b"), "b").select("a", "b", "print_a", "print_b")
+    hot = printed_blocks.join(large, "block", "left_semi")
+    hot_side = lambda x: hot.select("block", F.col("id").alias(x), F.col("print").alias(f"print_{x}")).hint("merge")
     hot_pairs = hot_side("a").join(hot_side("b"), "block").filter("a < b").select("a", "b", "print_a", "print_b")
-    near = pairs.select("a", "b", "print_a", "print_b").mapInArrow(_near(most_apart), "a long, b long")
-    near = written(near.unionAll(hot_pairs.mapInArrow(_near(most_apart), "a long, b long")).distinct())
+    near = pairs.unionAll(hot_pairs).mapInArrow(_near(most_apart), "a long, b long")
+    near = written(near.distinct())
     ids = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sent = df.sparkSession.sparkContext.broadcast(bloom(ids))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
