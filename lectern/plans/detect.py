@@ -25,6 +25,21 @@ def default_scorer(df: DataFrame) -> DataFrame:
     return scoring.linear_score(df, WEIGHTS, BIAS)
 
 
+def model_scorer(models: dict) -> Callable[[DataFrame], DataFrame]:
+    """A scorer by fitted models of registers (``modeling.fitted_by_register``): a row's register names its model, any
+    other or none takes that of all; rows without features keep a null score."""
+    from lectern.operators import modeling
+
+    def score(df: DataFrame) -> DataFrame:
+        names = models["all"].stages[0].getInputCols()
+        complete = F.greatest(*(F.col(f).isNull().cast("int") for f in names), F.lit(0)) == 0
+        rows = df if "register" in df.columns else df.withColumn("register", F.lit(None).cast("string"))
+        scored = modeling.scored_by_register(rows.filter(complete), models).drop("scored_as")
+        return scored.unionByName(rows.filter(~complete).withColumn("p", F.lit(None).cast("double")))
+
+    return score
+
+
 def detected(df: DataFrame, id_col: str, text_col: str = "text", register_col: str = "register", sensitivity_col: str | None = None, scorer: Callable[[DataFrame], DataFrame] = default_scorer) -> DataFrame:
     """(id, register, probability, is_ai, verdict, lower, upper, uncertain, error) of every document. Texts too short for features give the default record: probability 0, register "unknown", an error; no row is lost."""
     clean = df.select(F.col(id_col).alias("id"), F.lower(F.trim(register_col)).alias("register"), (F.col(sensitivity_col) if sensitivity_col else F.lit("normal")).alias("sensitivity"), X.defensive(text_col, nfc(text_col)).alias("text"))

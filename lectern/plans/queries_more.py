@@ -84,7 +84,10 @@ def m7_calibrated(spark, d):
 
     both = training.isotonic(train, "p").transform(platt.select("label", "p", vector_to_array("probability")[1].alias("platt")).withColumn("label", F.col("label").cast("double"))).withColumnRenamed("prediction", "isotonic")
     long = both.unpivot(["label"], ["p", "platt", "isotonic"], "kind", "value")
-    return stats.probability_losses(long, ["kind"], "value", "label")
+    losses = written(stats.probability_losses(long, ["kind"], "value", "label"))
+    # The calibration with the lower Brier score is chosen.
+    best = losses.filter("kind <> 'p'").agg(F.min_by("kind", "brier").alias("_best"))
+    return losses.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("kind") == F.col("_best")).drop("_best")
 
 
 @query()

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.catalog import SCORES, documents, query, scores, table
+from lectern.catalog import SCORES, documents, query, scores, spread, table
 from lectern.functions import kernel
 from lectern.functions import register as names
 from lectern.functions import text as X
 from lectern.functions import wordlists as L
 from lectern.operators import corpus, modeling, perturb, running, sampling, scoring, shape, stats, training
 from lectern.plans import detect
+from lectern.plans.queries_scores import CELLS, CURVE, PR, threshold_cells
 from lectern.plans.queries_text import DOCS, STYLE, q, sentences_sql, space_words_sql, strip_sql
 from lectern.plans.stage import written
 
@@ -101,6 +102,67 @@ def a16_detection_rates(spark, d):
     return stats.detection_rates(written(scored.select("label", "attack", "p")), "attack", "p", "label")
 
 
+RATIOS = (1, 10, 100, 1000)
+
+
+def _ratio_pivot_sql() -> str:
+    share = "(1.0 / (ratio + 1))"
+    return f"""WITH {PR}, x AS (SELECT register, unnest([1, 10, 100, 1000]) AS ratio, recall, fp / nullif(n_neg, 0) AS fpr FROM b WHERE k = 1 AND target = 0.9),
+    y AS (SELECT register, ratio, recall * {share} / nullif(recall * {share} + fpr * (1 - {share}), 0) AS p FROM x)
+    SELECT register, {', '.join(f"round(coalesce(max(p) FILTER (WHERE ratio = {r}), 0), 6)::DOUBLE AS r{r}" for r in RATIOS)} FROM y GROUP BY 1"""
+
+
+@query(_ratio_pivot_sql())
+def a23_precision_by_ratio(spark, d):
+    """Deployment precision of each register, a column for each ratio, 0 where there is none."""
+    p = stats.at_deployment(scores(spark, d), ["register"], "stylometric_score", "label")
+    wide = p.groupBy("register").pivot("ratio", list(RATIOS)).agg(F.first("deployment_precision"))
+    return wide.select("register", *(F.coalesce(F.col(str(r)), F.lit(0.0)).alias(f"r{r}") for r in RATIOS))
+
+
+HEAT = ["academic", "creative", "encyclopedic", "news", "social"]
+
+
+@query(
+    f"WITH {CELLS} SELECT train, {', '.join(f'round(max(accuracy) FILTER (WHERE test = {q(r)}), 6)::DOUBLE AS {r}' for r in HEAT)} FROM cells GROUP BY 1"
+)
+def a23_train_by_test(spark, d):
+    """Accuracy of each register's threshold, a column for each register it is tried on."""
+    return threshold_cells(spark, d).groupBy("train").pivot("test", HEAT).agg(F.first("accuracy"))
+
+
+@query(
+    f"""WITH {CURVE}, u AS (SELECT register, sum(pos * (below + neg / 2.0)) / nullif(n_pos * n_neg, 0) AS auc FROM r GROUP BY register, n_pos, n_neg),
+    e AS (SELECT register, count(*) FILTER (WHERE label = 0 AND stylometric_score >= 0.5) / nullif(count(*) FILTER (WHERE label = 0), 0) AS fp,
+      count(*) FILTER (WHERE label = 1 AND stylometric_score < 0.5) / nullif(count(*) FILTER (WHERE label = 1), 0) AS fn FROM s WHERE stylometric_score IS NOT NULL GROUP BY 1)
+    SELECT register, round(fp, 6)::DOUBLE AS fp_rate, round(fn, 6)::DOUBLE AS fn_rate, round(auc, 6)::DOUBLE AS auc FROM e LEFT JOIN u USING (register)"""
+)
+def a27_error_rates(spark, d):
+    """Error rates at 0.5 and AUC of each register."""
+    s = scores(spark, d)
+    rates = stats.confusion(s, ["register"], "stylometric_score", "label").select("register", "fp_rate", "fn_rate")
+    auc = stats.auc(s, ["register"], "stylometric_score", "label").select("register", "auc")
+    return rates.join(auc, "register", "left")
+
+
+@query(
+    f"""WITH {SCORES}, e AS (SELECT row_id, register, CASE WHEN label = 0 THEN 'FP' ELSE 'FN' END AS error_type, stylometric_score AS score FROM s
+      WHERE (label = 0 AND stylometric_score >= 0.5) OR (label = 1 AND stylometric_score < 0.5)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY register, error_type ORDER BY md5(row_id::VARCHAR || '-42'), row_id) AS k FROM e)
+    SELECT row_id, k.register, error_type, round(score, 6)::DOUBLE AS score, left(text, 100) AS head FROM k LEFT JOIN corpus_raw USING (row_id) WHERE k <= 3"""
+)
+def j5_error_texts(spark, d):
+    """Texts of at most three errors a register and kind, fetched by their ids after the sample is drawn."""
+    s = scores(spark, d)
+    hit, y = F.col("stylometric_score") >= 0.5, F.col("label")
+    wrong = s.filter((hit & (y == 0)) | (~hit & (y == 1))).withColumn("error_type", F.when(y == 0, "FP").otherwise("FN"))
+    some = sampling.capped(wrong, ["register", "error_type"], "row_id", 3)
+    texts = table(spark, d, "corpus_raw", "row_id", "text")
+    # At most three rows a register and kind.
+    joined = F.broadcast(some).join(texts.join(F.broadcast(some.select("row_id")), "row_id", "left_semi"), "row_id", "left")
+    return joined.select("row_id", "register", "error_type", F.col("stylometric_score").alias("score"), F.substring("text", 1, 100).alias("head"))
+
+
 # ---- shapes and checks ---------------------------------------------------------------------------------------------
 @query(
     """SELECT row_id, CASE WHEN model IS NULL THEN NULL WHEN lower(trim(model)) IN ('human', '0', '0.0') THEN 0 ELSE 1 END::BIGINT AS plain,
@@ -280,6 +342,14 @@ def m1_scored_by_register(spark, d):
     return scored.select("doc_id", "register", "scored_as", "label", "p")
 
 
+@query()
+def m1_detected_by_models(spark, d):
+    """The batch detection of requests with the models of their registers in place of the fixed score."""
+    models = modeling.fitted_by_register(styled(spark, d), STYLE)
+    requests = table(spark, d, "detect_request", "request_id", "text", "register", "sensitivity")
+    return detect.detected(spread(requests), "request_id", sensitivity_col="sensitivity", scorer=detect.model_scorer(models))
+
+
 @query()
 def m2_registers(spark, d):
     """The register found for each held-out document, with its confidence."""
