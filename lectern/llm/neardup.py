@@ -12,7 +12,9 @@ Texts with the same set of runs are one class: only the class's smallest id take
 members are added afterwards. A block or key of any size is handled by the sort-merge join, whose skewed
 partitions the adaptive planner splits on both sides. Of blocks of more than ``LARGE`` texts (a boilerplate makes
 such) the fingerprints travel along, and pairs are verified where they are joined, so that only near pairs are
-sent on.
+sent on. Blocks of more than ``HOT`` texts are parted further, by sets of five components: texts that share
+little besides the boilerplate rarely meet there (at an agreement of 0.2 one pair in thirty), and of the pairs of
+similarity 0.65 that share no other block about one in 500 misses all sets.
 
 Defined results: null texts and texts with fewer words than asked take part in nothing; a text with fewer
 words than ``k`` has no runs and equals no other; repeated ids count once; an empty table gives an empty
@@ -36,6 +38,9 @@ from lectern.plans.stage import written
 SIZE, WIDTH = 60, 3
 #: Blocks of more texts are verified within the join.
 LARGE = 256
+#: Of blocks of more texts than this, pairs must agree in one of ``REFINED`` sets of ``DEEP`` components besides.
+HOT, REFINED, DEEP = 20_000, 120, 5
+_SETS = np.array([np.random.default_rng([7, i]).permutation(SIZE)[:DEEP] for i in range(REFINED)])
 _SEEDS = cp.mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64))
 _MULTIPLY, _ADD = _SEEDS[:SIZE] | np.uint64(1), _SEEDS[SIZE:]
 
@@ -100,6 +105,22 @@ def _runs(k: int, sent):
     return run
 
 
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row of a hot block once for each set of components, under a key of block, set and their values."""
+    for b in batches:
+        for a in range(0, b.num_rows, 4096):
+            part = b.slice(a, 4096)
+            n = part.num_rows
+            prints = np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint8).reshape(n, SIZE).astype(np.uint64)
+            block = part.column("block").to_numpy(zero_copy_only=False).view(np.uint64)
+            key = cp.mix(block[:, None] + np.arange(1, REFINED + 1, dtype=np.uint64)[None, :])
+            for i in range(DEEP):
+                key = cp.mix(key * np.uint64(0xD6E8FEB86659FD93) + prints[:, _SETS[:, i]])
+            row = pa.array(np.repeat(np.arange(n), REFINED))
+            columns = [pa.array(key.ravel().view(np.int64)), part.column("id").take(row), part.column("print").take(row)]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "id", "print"])
+
+
 def _near(most_apart: int):
     """Pairs whose prints differ in no more components than allowed."""
 
@@ -149,7 +170,8 @@ def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     block = (F.shiftleft(F.col("place").cast("long"), 32) + F.col("part")).alias("block")
     exploded = classes.select(F.posexplode("blocks").alias("place", "part"), "id", "print")
     blocks, printed_blocks = exploded.select(block, "id"), exploded.select(block, "id", "print")
-    large = written(blocks.groupBy("block").count().filter(F.col("count") > LARGE).select("block"))
+    sizes = written(blocks.groupBy("block").count().filter(F.col("count") > LARGE))
+    large, very = sizes.select("block"), sizes.filter(F.col("count") > HOT).select("block")
     # The largest distance that a pair at the threshold exceeds once in some ten thousand times.
     spread = (threshold * (1 - threshold) / SIZE) ** 0.5
     most_apart = int(np.ceil(SIZE * min(1.0, 1 - threshold + 3.7 * spread)))
@@ -158,7 +180,9 @@ def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     side = lambda x: small.select("block", F.col("id").alias(x)).hint("merge")
     pairs = side("a").join(side("b"), "block").filter("a < b").select("a", "b").distinct()
     pairs = pairs.join(printed("a"), "a").join(printed("b"), "b").select("a", "b", "print_a", "print_b")
-    hot = printed_blocks.join(large, "block", "left_semi")
+    hot = printed_blocks.join(sizes.filter(F.col("count") <= HOT).select("block"), "block", "left_semi")
+    parted = printed_blocks.join(very, "block", "left_semi").mapInArrow(_refined, "block long, id long, print binary")
+    hot = hot.unionAll(parted)
     hot_side = lambda x: hot.select("block", F.col("id").alias(x), F.col("print").alias(f"print_{x}")).hint("merge")
     hot_pairs = hot_side("a").join(hot_side("b"), "block").filter("a < b").select("a", "b", "print_a", "print_b")
     near = pairs.unionAll(hot_pairs).mapInArrow(_near(most_apart), "a long, b long")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lectern.llm import abuse, bloom, collapse, cube, cutoff, leak, lookalike, mixing, neardup
@@ -161,3 +162,24 @@ def test_large_blocks_give_the_same_links(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(neardup, "LARGE", 1)
     assert run() == whole and len(whole) == 40 * 39 // 2
+    monkeypatch.setattr(neardup, "HOT", 2)
+    assert run() == whole
+
+
+def test_parted_blocks_keep_near_pairs_apart_from_boilerplate():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 256, neardup.SIZE).astype(np.uint8)
+    near = np.where(rng.random((300, neardup.SIZE)) < 0.65, base, rng.integers(0, 256, (300, neardup.SIZE)).astype(np.uint8))
+    far = np.where(rng.random((300, neardup.SIZE)) < 0.2, base, rng.integers(0, 256, (300, neardup.SIZE)).astype(np.uint8))
+
+    def met(prints: np.ndarray) -> float:
+        prints = np.vstack([base, prints])
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.full(301, 5, np.int64)), pa.array(np.arange(301)), pa.array([x.tobytes() for x in prints], pa.binary())],
+            names=["block", "id", "print"],
+        )
+        out = pd.concat([b.to_pandas() for b in neardup._refined([batch])])
+        mine = set(out["block"][out["id"] == 0])
+        return out[out["id"] > 0].groupby("id")["block"].agg(lambda x: bool(mine & set(x))).mean()
+
+    assert met(near) > 0.98 and met(far) < 0.1
