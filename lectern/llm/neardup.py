@@ -13,8 +13,8 @@ members are added afterwards. A block or key of any size is handled by the sort-
 partitions the adaptive planner splits on both sides. Of blocks of more than ``LARGE`` texts (a boilerplate makes
 such) the fingerprints travel along, and pairs are verified where they are joined, so that only near pairs are
 sent on. Blocks of more than ``HOT`` texts are parted further, by sets of five components: texts that share
-little besides the boilerplate rarely meet there (at an agreement of 0.2 one pair in thirty), and of the pairs of
-similarity 0.65 that share no other block about one in 500 misses all sets.
+little besides the boilerplate rarely meet there (at an agreement of 0.2 one pair in 17), and of the pairs of
+similarity 0.65 that share no other block about one in 2,000 misses all sets (of those at 0.6 one in 400).
 
 Defined results: null texts and texts with fewer words than asked take part in nothing; a text with fewer
 words than ``k`` has no runs and equals no other; repeated ids count once; an empty table gives an empty
@@ -39,7 +39,7 @@ SIZE, WIDTH = 60, 3
 #: Blocks of more texts are verified within the join.
 LARGE = 256
 #: Of blocks of more texts than this, pairs must agree in one of ``REFINED`` sets of ``DEEP`` components besides.
-HOT, REFINED, DEEP = 20_000, 120, 5
+HOT, REFINED, DEEP = 20_000, 200, 5
 _SETS = np.array([np.random.default_rng([7, i]).permutation(SIZE)[:DEEP] for i in range(REFINED)])
 _SEEDS = cp.mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64))
 _MULTIPLY, _ADD = _SEEDS[:SIZE] | np.uint64(1), _SEEDS[SIZE:]
