@@ -173,3 +173,12 @@ def linear_score(df: DataFrame, weights: dict[str, float], bias: float) -> DataF
     return df.withColumn("p", 1.0 / (1.0 + F.exp(-total)))
 
 
+def attribution_record(p: Column, classes: dict[str, Column], reasoning: Column | None = None) -> Column:
+    """The source of a text by ``attributed``, as (source, confidence): below 0.25 the confidence is that of human text,
+    for a reasoning model its score, else the probability of the class named."""
+    source = attributed(p, classes, reasoning)
+    named = F.create_map(*[x for n, c in classes.items() for x in (F.lit(n), c)])
+    sure = F.when(p < 0.25, 1 - p)
+    if reasoning is not None:
+        sure = sure.when(source == "reasoning", reasoning)
+    return F.struct(source.alias("source"), sure.otherwise(F.try_element_at(named, source)).alias("confidence"))

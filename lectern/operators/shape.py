@@ -113,8 +113,17 @@ def shuffled(df: DataFrame, id_col: str, seed: str = "42") -> DataFrame:
     return df.orderBy(hash_order(F.col(id_col), seed), F.col(id_col))
 
 
-#: Names shown for model families.
-SHOWN = {"human": "Human", "openai": "OpenAI GPT", "llama": "Llama", "mistral": "Mistral", "cohere": "Cohere", "mpt": "MPT"}
+# Names shown for model families.
+SHOWN = {
+    "human": "Human",
+    "openai": "OpenAI (GPT-4 / ChatGPT)",
+    "llama": "Meta Llama",
+    "mistral": "Mistral AI",
+    "cohere": "Cohere",
+    "mpt": "MosaicML MPT",
+    "other": "Other AI",
+    "reasoning": "Reasoning LLM (DeepSeek-R1 / OpenAI o1)",
+}
 
 
 def shown_name(column: Column) -> Column:

@@ -254,7 +254,11 @@ def r2_sample(spark, d):
     return sampling.sample(table(spark, d, "corpus_raw", "row_id"), "row_id", 500)
 
 
-@query(f"SELECT row_id, CASE family WHEN 'human' THEN 'Human' WHEN 'openai' THEN 'OpenAI GPT' WHEN 'llama' THEN 'Llama' WHEN 'mistral' THEN 'Mistral' WHEN 'cohere' THEN 'Cohere' WHEN 'mpt' THEN 'MPT' ELSE family END AS shown FROM (SELECT row_id, {GROUPS} AS family FROM corpus_raw)")
+def _shown_sql(x: str) -> str:
+    return f"CASE {x} {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in shape.SHOWN.items())} ELSE {x} END"
+
+
+@query(f"SELECT row_id, {_shown_sql('family')} AS shown FROM (SELECT row_id, {GROUPS} AS family FROM corpus_raw)")
 def j11_shown_names(spark, d):
     return table(spark, d, "corpus_raw", "row_id", shape.shown_name(corpus.model_group(F.col("model"))).alias("shown"))
 
@@ -307,6 +311,21 @@ def m13_label_and_confidence(spark, d):
     return scores(spark, d).filter("stylometric_score is not null").select("row_id", named.alias("x")).select("row_id", "x.*")
 
 
+@query(
+    f"""WITH {SCORES}, a AS (SELECT row_id, stylometric_score AS p, binoculars_score AS r FROM s WHERE stylometric_score IS NOT NULL),
+    b AS (SELECT *, CASE WHEN p < 0.25 THEN 'human' WHEN r > 0.6 THEN 'reasoning' WHEN 1 - p >= 0.6 * p AND p <= 0.6 THEN 'human' ELSE 'openai' END AS source FROM a)
+    SELECT row_id, {_shown_sql('source')} AS source, round(CASE WHEN p < 0.25 THEN 1 - p WHEN source = 'reasoning' THEN r WHEN source = 'human' THEN 1 - p ELSE 0.6 * p END, 6)::DOUBLE AS confidence FROM b"""
+)
+def m11_records(spark, d):
+    """Sources with confidences and shown names: the score parted among a human and two machine classes, the second
+    score standing for that of reasoning models."""
+    p = F.col("stylometric_score")
+    classes = {"human": 1 - p, "openai": 0.6 * p, "llama": 0.4 * p}
+    record = scoring.attribution_record(p, classes, F.col("binoculars_score")).alias("x")
+    rows = scores(spark, d).filter("stylometric_score is not null").select("row_id", record)
+    return rows.select("row_id", shape.shown_name(F.col("x.source")).alias("source"), "x.confidence")
+
+
 @query()
 def r11_synthetic(spark, d):
     """Means and deviations of the synthetic profiles, and of the synthetic calibration set."""
