@@ -182,12 +182,14 @@ def text_classifier(label: str = "label", words: str = "words", size: int = 10_0
 
 def calibrated_margins(scored: DataFrame, margin: str, label: str, k: int = 5) -> DataFrame:
     """``p``: a logistic map of margins to probabilities, fitted on the other folds (column ``fold``)."""
+    # A column named prediction would clash with the model's own.
+    rows = scored.withColumnRenamed("prediction", "_said") if "prediction" in scored.columns else scored
     out = None
     for f in range(k):
-        model = classifier("lr", [margin], label).fit(scored.filter(F.col("fold") != f))
-        part = probabilities(model, scored.filter(F.col("fold") == f))
+        model = classifier("lr", [margin], label).fit(rows.filter(F.col("fold") != f))
+        part = probabilities(model, rows.filter(F.col("fold") == f))
         out = part if out is None else out.unionAll(part)
-    return out
+    return out.withColumnRenamed("_said", "prediction")
 
 
 def text_cross_validated(df: DataFrame, id_col: str, label: str = "label", words: str = "words", k: int = 5, size: int = 10_000) -> DataFrame:

@@ -191,3 +191,14 @@ def test_stream_ends_when_filled(spark, tmp_path):
         spark.range(10 * i, 10 * i + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     held = readers.ingested(spark, str(tmp_path / "in"), "id long", lambda df: df.filter("id % 2 = 0"), 8, str(tmp_path / "out"))
     assert held == 8 and spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
+def test_margins_become_probabilities(spark):
+    r = random.Random(2)
+    rows = [(i, i % 2, i % 5, (i % 2) + r.gauss(0, 0.5), float(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, label int, fold int, margin double, prediction double")
+    got = training.calibrated_margins(df, "margin", "label").collect()
+    assert len(got) == 200 and all(0 <= x.p <= 1 for x in got) and got[0].prediction in (0.0, 1.0)
+    assert sum(x.p for x in got if x.label) > sum(x.p for x in got if not x.label) + 40
+    grams = spark.createDataFrame([(["ab", "c"],), (None,)], "w array<string>").select(training.word_grams(F.col("w")).alias("g")).collect()
+    assert grams[0].g == [" a", "ab", "b ", " ab", "ab ", " ab ", " c", "c ", " c "] and grams[1].g is None
