@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.kernel import ORIGINAL
-from lectern.operators import sampling, stats
+from lectern.operators import forest, sampling, stats
 from lectern.operators.training import classifier, cross_validated, fold_metrics, probabilities
 from lectern.plans.stage import written
 
@@ -190,13 +190,16 @@ def random_search(
     space: dict[str, list] | None = None,
 ) -> DataFrame:
     """(draw, parameters, auc, best): forests of drawn parameters by their mean AUC over k folds, and draw 0, the default
-    forest, held out like the others."""
+    forest, held out like the others. Forests are grown from counted cells where few enough tell the rows apart."""
     spark = df.sparkSession
     rng = random.Random(seed)
     space = space or SPACE
     tried = [{}, *({name: rng.choice(values) for name, values in space.items()} for _ in range(draws))]
-    folded = written(sampling.folds(df.dropna(subset=[*features, label]), [label], id_col, k))
-    aucs = side_by_side([lambda s=s: _cv_auc(folded, "rf", features, label, k, s) for s in tried])
+    rows = df.filter(F.col(label).isin(0, 1)).dropna(subset=features)
+    folded = written(sampling.folds(rows, [label], id_col, k))
+    aucs = forest.cv_aucs(folded, features, tried, label, k) if all(map(forest.covers, tried)) else None
+    if aucs is None:
+        aucs = side_by_side([lambda s=s: _cv_auc(folded, "rf", features, label, k, s) for s in tried])
     top = max((a for a in aucs if a is not None), default=None)
     rows = [(i, str(s), a, a is not None and a == top) for i, (s, a) in enumerate(zip(tried, aucs))]
     return spark.createDataFrame(rows, "draw int, parameters string, auc double, best boolean")
